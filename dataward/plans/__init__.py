@@ -6,7 +6,7 @@ import importlib
 
 from dataward.plans.registry import QUERIES, SQL
 
-_MODULES = ["usage"]
+_MODULES = ["usage", "registries", "slo", "ledger", "snapshots"]
 
 
 def _load() -> None:
