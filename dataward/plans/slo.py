@@ -63,7 +63,7 @@ def burn_series(spark, sf):
 
 
 _RULE = lambda n, o, t, lo, sh, f, hold: (
-    f"select service, minute, '{n}' as alert, sum(case when (1 - {o}_{lo}) / (1 - {t}) > {f} and (1 - {o}_{sh}) / (1 - {t}) > {f} then 1 else 0 end) "
+    f"select service, minute, '{n}' as alert, sum(case when (1 - {o}_{lo}) / (1 - {t}::double) > {f}::double and (1 - {o}_{sh}) / (1 - {t}::double) > {f}::double then 1 else 0 end) "
     f"over (partition by service order by minute range between {hold} preceding and current row) = {hold + 1} as firing from series")
 _ALERTS = " union all ".join(_RULE(n, o, {"availability": 0.98, "latency": 0.95}[o], lo, sh, f, h) for n, o, lo, sh, f, h in S.BURN_ALERTS)
 
