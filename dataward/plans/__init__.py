@@ -6,7 +6,7 @@ import importlib
 
 from dataward.plans.registry import QUERIES, SQL
 
-_MODULES = ["usage", "registries", "slo", "ledger", "snapshots", "sync", "graph"]
+_MODULES = ["usage", "registries", "slo", "ledger", "snapshots", "sync", "graph", "constraints"]
 
 
 def _load() -> None:
