@@ -42,12 +42,11 @@ def targets(q: DataFrame, target: tuple, superclasses: DataFrame | None = None)
     kind, term = target
     if kind == "class":
         typed = q.where(F.col("p") == RDF_TYPE)
-        if superclasses is None:
-            typed = typed.where(F.col("o") == term)
-        else:
-            below = superclasses.where(F.col("b") == term).select(F.col("a").alias("o")).unionByName(
-                superclasses.limit(1).select(F.lit(term).alias("o"))).distinct()
-            typed = typed.join(below, "o", "left_semi")
+        exact = typed.where(F.col("o") == term)
+        if superclasses is not None:
+            below = superclasses.where((F.col("b") == term) & (F.col("a") != term)).select(F.col("a").alias("o")).distinct()
+            exact = exact.unionByName(typed.join(below, "o", "left_semi").select(*typed.columns))
+        typed = exact
         return typed.select("graph", F.col("s").alias("node"), F.col("s_kind").alias("node_kind")).distinct()
     if kind == "subjectsOf":
         return q.where(F.col("p") == term).select("graph", F.col("s").alias("node"), F.col("s_kind").alias("node_kind")).distinct()

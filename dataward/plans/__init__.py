@@ -6,7 +6,8 @@ import importlib
 
 from dataward.plans.registry import QUERIES, SQL
 
-_MODULES = ["usage", "registries", "slo", "ledger", "snapshots", "sync", "graph", "constraints"]
+_MODULES = ["usage", "registries", "slo", "ledger", "snapshots", "sync", "graph", "constraints",
+            "graph_rules"]
 
 
 def _load() -> None:
