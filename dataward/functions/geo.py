@@ -88,26 +88,29 @@ def to_wkt(geom: Column) -> Column:
     return F.concat(F.lit("<"), geom["crs"], F.lit("> "), F.upper(geom["type"]), inner)
 
 
-def _to_lonlat(c: Crs, e: Column, n: Column) -> tuple[Column, Column]:
+def _to_lonlat(df: DataFrame, c: Crs, e: Column, n: Column) -> DataFrame:
+    """Add _lon and _lat. Values that several terms share are columns of their own, computed once."""
     if c.kind == "longlat":
-        return e, n
+        return once(df, {"_lon": e, "_lat": n})
     if c.kind == "mercator":
-        return F.degrees(e / RADIUS), F.degrees(2 * F.atan(F.exp(n / RADIUS)) - math.pi / 2)
-    xi = (n - c.y0) / (c.k * _A) + _xi0(c.lat0)
-    eta = (e - c.x0) / (c.k * _A)
+        return once(df, {"_lon": F.degrees(e / RADIUS), "_lat": F.degrees(2 * F.atan(F.exp(n / RADIUS)) - math.pi / 2)})
+    xi, eta, tau = F.col("_xi"), F.col("_eta"), F.col("_tau")
+    df = once(df, {"_xi": (n - c.y0) / (c.k * _A) + _xi0(c.lat0), "_eta": (e - c.x0) / (c.k * _A)})
     xip, etap = xi, eta
     for j, b in enumerate(_BETA, 1):
         xip = xip - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         etap = etap - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    lon = F.degrees(F.atan2(F.sinh(etap), F.cos(xip))) + c.lon0
-    tau_p = F.sin(xip) / F.sqrt(F.pow(F.sinh(etap), 2) + F.pow(F.cos(xip), 2))
-    tau = tau_p
+    df = once(df, {"_xip": xip, "_etap": etap})
+    lon = F.degrees(F.atan2(F.sinh("_etap"), F.cos("_xip"))) + c.lon0
+    taup = F.sin("_xip") / F.sqrt(F.pow(F.sinh("_etap"), 2) + F.pow(F.cos("_xip"), 2))
+    df = once(df, {"_lon": lon, "_taup": taup}).withColumn("_tau", F.col("_taup"))
     for _ in range(4):
-        sigma = F.sinh(_E * F.atanh(_E * tau / F.sqrt(1 + tau * tau)))
-        est = tau * F.sqrt(1 + sigma * sigma) - sigma * F.sqrt(1 + tau * tau)
-        step = (tau_p - est) / F.sqrt(1 + est * est) * (1 + (1 - _E**2) * tau * tau) / ((1 - _E**2) * F.sqrt(1 + tau * tau))
-        tau = tau + step
-    return lon, F.degrees(F.atan(tau))
+        df = once(df, {"_root": F.sqrt(1 + tau * tau)})
+        df = once(df, {"_sigma": F.sinh(_E * F.atanh(_E * tau / F.col("_root")))})
+        df = once(df, {"_est": tau * F.sqrt(1 + F.pow("_sigma", 2)) - F.col("_sigma") * F.col("_root")})
+        step = (F.col("_taup") - F.col("_est")) / F.sqrt(1 + F.pow("_est", 2)) * (1 + (1 - _E**2) * tau * tau) / ((1 - _E**2) * F.col("_root"))
+        df = once(df, {"_tau": tau + step})
+    return once(df, {"_lat": F.degrees(F.atan("_tau"))}).drop("_xi", "_eta", "_xip", "_etap", "_taup", "_tau", "_root", "_sigma", "_est")
 
 
 def _xi0(lat0: float) -> float:
@@ -120,22 +123,25 @@ def _xi0(lat0: float) -> float:
     return xip + sum(a * math.sin(2 * j * xip) for j, a in enumerate(_ALPHA, 1))
 
 
-def _from_lonlat(c: Crs, lon: Column, lat: Column) -> tuple[Column, Column]:
+def _from_lonlat(df: DataFrame, c: Crs, lon: Column, lat: Column) -> DataFrame:
+    """Add _e and _n."""
     if c.kind == "longlat":
-        return lon, lat
+        return once(df, {"_e": lon, "_n": lat})
     if c.kind == "mercator":
-        return F.radians(lon) * RADIUS, F.log(F.tan(F.radians(lat) / 2 + math.pi / 4)) * RADIUS
-    tau = F.tan(F.radians(lat))
-    sigma = F.sinh(_E * F.atanh(_E * tau / F.sqrt(1 + tau * tau)))
-    taup = tau * F.sqrt(1 + sigma * sigma) - sigma * F.sqrt(1 + tau * tau)
-    lam = F.radians(lon - c.lon0)
-    xip = F.atan2(taup, F.cos(lam))
-    etap = F.asinh(F.sin(lam) / F.sqrt(taup * taup + F.pow(F.cos(lam), 2)))
-    xi, eta = xip, etap
+        return once(df, {"_e": F.radians(lon) * RADIUS, "_n": F.log(F.tan(F.radians(lat) / 2 + math.pi / 4)) * RADIUS})
+    df = once(df, {"_tau": F.tan(F.radians(lat)), "_lam": F.radians(lon - c.lon0)})
+    tau = F.col("_tau")
+    df = once(df, {"_root": F.sqrt(1 + tau * tau)})
+    df = once(df, {"_sigma": F.sinh(_E * F.atanh(_E * tau / F.col("_root")))})
+    df = once(df, {"_taup": tau * F.sqrt(1 + F.pow("_sigma", 2)) - F.col("_sigma") * F.col("_root")})
+    df = once(df, {"_xip": F.atan2(F.col("_taup"), F.cos("_lam")),
+                   "_etap": F.asinh(F.sin("_lam") / F.sqrt(F.pow("_taup", 2) + F.pow(F.cos("_lam"), 2)))})
+    xi, eta = F.col("_xip"), F.col("_etap")
     for j, a in enumerate(_ALPHA, 1):
-        xi = xi + a * F.sin(2 * j * xip) * F.cosh(2 * j * etap)
-        eta = eta + a * F.cos(2 * j * xip) * F.sinh(2 * j * etap)
-    return c.x0 + c.k * _A * eta, c.y0 + c.k * _A * (xi - _xi0(c.lat0))
+        xi = xi + a * F.sin(2 * j * F.col("_xip")) * F.cosh(2 * j * F.col("_etap"))
+        eta = eta + a * F.cos(2 * j * F.col("_xip")) * F.sinh(2 * j * F.col("_etap"))
+    return once(df, {"_e": c.x0 + c.k * _A * eta, "_n": c.y0 + c.k * _A * (xi - _xi0(c.lat0))}).drop(
+        "_tau", "_lam", "_root", "_sigma", "_taup", "_xip", "_etap")
 
 
 def reproject(df: DataFrame, x: str, y: str, source: str, target: str, out: tuple[str, str]) -> DataFrame:
@@ -145,11 +151,9 @@ def reproject(df: DataFrame, x: str, y: str, source: str, target: str, out: tupl
     """
     a, b = CRS[source], CRS[target]
     e, n = (F.col(x), F.col(y)) if a.axis == "en" else (F.col(y), F.col(x))
-    lon, lat = _to_lonlat(a, e, n)
-    staged = once(df, {"_lon": lon, "_lat": lat})
-    te, tn = _from_lonlat(b, F.col("_lon"), F.col("_lat"))
-    first, second = (te, tn) if b.axis == "en" else (tn, te)
-    return once(staged, {out[0]: first, out[1]: second}).drop("_lon", "_lat")
+    there = _from_lonlat(_to_lonlat(df, a, e, n), b, F.col("_lon"), F.col("_lat"))
+    first, second = ("_e", "_n") if b.axis == "en" else ("_n", "_e")
+    return there.withColumnsRenamed({first: out[0], second: out[1]}).drop("_lon", "_lat")
 
 
 def reproject_geometry(df: DataFrame, geom: str, keys: list[str], source: str, target: str) -> DataFrame:

@@ -7,6 +7,7 @@ import ipaddress
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dataward.functions.barrier import once
 from dataward.functions.sensitive import GRAPH_SECRETS, PERSONAL, matches_any
 from dataward.functions.unicode import nfkc
 
@@ -101,7 +102,8 @@ def ip_class(df: DataFrame, host_col: str) -> DataFrame:
     """Add address_family (4, 6 or NULL) and is_global for a host column."""
     host = F.col(host_col)
     v6 = F.contains(host, F.lit(":"))
-    return df.withColumns({"_v4": ipv4_number(host), "_v6": F.when(v6, ipv6_hex(host))}).withColumns({
+    numbers = once(df, {"_v4": ipv4_number(host), "_v6": F.when(v6, ipv6_hex(host))})
+    return once(numbers, {
         "address_family": F.when(F.col("_v4").isNotNull(), 4).when(v6, 6),
         "is_global": F.when(F.col("_v4").isNotNull(), ipv4_global(F.col("_v4"))).when(v6, F.coalesce(ipv6_global(F.col("_v6")), F.lit(False)))}).drop("_v4", "_v6")
 
@@ -127,31 +129,29 @@ def blocked_iri_reason(df: DataFrame, iri_col: str, out: str = "blocked_reason")
     """
     iri = F.col(iri_col)
     query = F.regexp_extract(iri, r"\?([^#]*)", 1)
-    path = F.regexp_extract(iri, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    fragment = F.regexp_extract(iri, r"(#.*)$", 1)
-    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
-    names = F.transform(pairs, lambda p: F.coalesce(F.try_url_decode(F.split(p, "=", 2)[0]), F.split(p, "=", 2)[0]))
-    values = F.transform(pairs, lambda p: F.coalesce(F.try_url_decode(F.get(F.split(p, "=", 2), F.lit(1))), F.lit("")))
-    values_again = F.transform(values, lambda v: decoded(v))
-    bad_values = F.exists(values_again, lambda v: v.isNull())
-    host = host_of(iri)
-    bare = F.regexp_replace(host, r"^\[|\]$", "")
-    staged = df.withColumns({
-        "_values": nfkc(F.concat_ws("\n", values, values_again)),
-        "_parts": nfkc(F.concat_ws("\n", path, fragment, decoded(path), decoded(fragment))), "_host": bare})
-    staged = ip_class(staged, "_host")
+    parts = once(df, {
+        "_pairs": F.filter(F.split(query, "&"), lambda p: p != ""), "_fragment": F.regexp_extract(iri, r"(#.*)$", 1),
+        "_path": F.regexp_extract(iri, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "_host": F.regexp_replace(host_of(iri), r"^\[|\]$", "")})
+    name = lambda p: F.split(p, "=", 2)[0]
+    plain = once(parts, {
+        "_names": F.transform("_pairs", lambda p: F.coalesce(F.try_url_decode(name(p)), name(p))),
+        "_raw": F.transform("_pairs", lambda p: F.coalesce(F.try_url_decode(F.get(F.split(p, "=", 2), F.lit(1))), F.lit(""))),
+        "_dpath": decoded(F.col("_path")), "_dfragment": decoded(F.col("_fragment"))})
+    again = once(plain, {"_deep": F.transform("_raw", decoded)})
+    folded = ip_class(again.withColumns({
+        "_values": nfkc(F.concat_ws("\n", "_raw", "_deep")),
+        "_parts": nfkc(F.concat_ws("\n", "_path", "_fragment", "_dpath", "_dfragment"))}), "_host")
     sensitive = lambda c: F.coalesce(matches_any(F.col(c), GRAPH_SECRETS) | matches_any(F.col(c), PERSONAL), F.lit(False))
-    single = ~F.contains(bare, F.lit(".")) & ~F.contains(bare, F.lit(":"))
-    local = single | host.isin(*LOCAL_NAMES)
+    host = F.col("_host")
+    local = (~F.contains(host, F.lit(".")) & ~F.contains(host, F.lit(":"))) | host.isin(*LOCAL_NAMES)
     for s in LOCAL_SUFFIXES:
         local = local | host.endswith(s)
-    http = iri.rlike(r"(?i)^https?:")
-    reason = (F.when(~F.coalesce(http, F.lit(False)), None).when((host == "") | iri.rlike(r"\s"), "invalid-http-iri")
-              .when(iri.rlike(r"^[^/]*//[^/?#]*@"), "userinfo").when(F.exists(names, lambda n: n.rlike(SENSITIVE_QUERY_KEY)), "sensitive-query")
-              .when(bad_values, "invalid-url-encoding").when(sensitive("_values"), "sensitive-query-value")
-              .when(decoded(path).isNull() | decoded(fragment).isNull(), "invalid-url-encoding").when(sensitive("_parts"), "sensitive-url-component")
+    reason = (F.when(~F.coalesce(iri.rlike(r"(?i)^https?:"), F.lit(False)), None).when((host == "") | iri.rlike(r"\s"), "invalid-http-iri")
+              .when(iri.rlike(r"^[^/]*//[^/?#]*@"), "userinfo").when(F.exists("_names", lambda n: n.rlike(SENSITIVE_QUERY_KEY)), "sensitive-query")
+              .when(F.exists("_deep", lambda v: v.isNull()), "invalid-url-encoding").when(sensitive("_values"), "sensitive-query-value")
+              .when(F.col("_dpath").isNull() | F.col("_dfragment").isNull(), "invalid-url-encoding").when(sensitive("_parts"), "sensitive-url-component")
               .when(local | ~F.coalesce(F.col("is_global"), F.lit(True)), "non-global-host"))
-    return staged.withColumn(out, reason).drop("_values", "_parts", "_host", "address_family", "is_global")
+    return once(folded, {out: reason}).select(*df.columns, out)
 
 
 def unstable_url_reason(predicate: Column, value: Column, hosts: list[str]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dataward.functions.barrier import once
 from dataward.functions.unicode import nfkc
 
 # Secret patterns of change events, secret and personal patterns of public graphs.
@@ -70,8 +71,7 @@ def sensitive_text(col: Column) -> Column:
 
 def sensitive_kinds(df: DataFrame, text_col: str) -> DataFrame:
     """Add has_secret and has_personal for a text column; the text is folded once."""
-    return (df.withColumn("_folded", nfkc(F.col(text_col)))
-            .withColumns({"has_secret": F.coalesce(matches_any(F.col("_folded"), GRAPH_SECRETS), F.lit(False)),
+    return (once(df.withColumn("_folded", nfkc(F.col(text_col))), {"has_secret": F.coalesce(matches_any(F.col("_folded"), GRAPH_SECRETS), F.lit(False)),
                           "has_personal": F.coalesce(matches_any(F.col("_folded"), PERSONAL), F.lit(False))})
             .drop("_folded"))
 

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dataward.functions.barrier import once
 from dataward.functions.geo import parse_gml_point, parse_wkt
 from dataward.functions.lexical import xsd_reason
 from dataward.functions.net import approved_host, blocked_iri_reason, decoded, host_of, unstable_url_reason
@@ -54,7 +55,7 @@ def bounded(col: Column, limit: int) -> Column:
 def sanitize_value(df: DataFrame, col: str, out: str, limit: int = 20000) -> DataFrame:
     """Diagnostic form of a value: redacted when unsafe, a digest when too long, else unchanged."""
     scheme = F.lower(F.regexp_extract(col, r"^[A-Za-z][A-Za-z0-9+.-]*:", 0))
-    staged = blocked_iri_reason(df.withColumn("_sensitive", sensitive_text(F.col(col))), col, "_blocked")
+    staged = blocked_iri_reason(once(df, {"_sensitive": sensitive_text(F.col(col))}), col, "_blocked")
     unsafe = ((scheme != "") & ~scheme.isin("http:", "https:")) | F.col("_blocked").isNotNull() | F.col("_sensitive")
     return staged.withColumn(out, F.when(F.coalesce(unsafe, F.lit(False)), redacted(F.col(col))).otherwise(bounded(F.col(col), limit))).drop("_sensitive", "_blocked")
 
@@ -133,7 +134,8 @@ def iri_policy(q, hosts, mailboxes=None):
     scheme = F.lower(F.regexp_extract("iri", r"^[A-Za-z][A-Za-z0-9+.-]*:", 0))
     relative = scheme == ""
     refused = ~relative & (~scheme.isin(*PUBLIC_SCHEMES) | (scheme == "mailto:") | ~approved_host(F.col("iri"), hosts) | F.col("blocked_reason").isNotNull())
-    judged = known.select("iri", F.when(relative, "SEC-PUBLIC-004").when(F.coalesce(refused, F.lit(True)), "SEC-PUBLIC-001").alias("code")).where(F.col("code").isNotNull())
+    verdict = F.when(relative, "SEC-PUBLIC-004").when(F.coalesce(refused, F.lit(True)), "SEC-PUBLIC-001")
+    judged = once(known, {"code": verdict}).select("iri", "code").where(F.col("code").isNotNull())
     rows = iris.join(judged, "iri")
     if mailboxes is not None:
         ok = mailboxes.select("graph", "s", "p", F.col("o").alias("iri"), F.lit("o").alias("place")).distinct()
@@ -145,7 +147,7 @@ def sensitive_statements(q, mailboxes=None):
     """Secrets or personal data in IRIs and literals; each distinct text is folded and tested once."""
     texts = _iris(q).select("graph", "s", "p", F.col("iri").alias("text"), "place").unionByName(
         q.where(F.col("o_kind") == "literal").select("graph", "s", "p", F.col("o").alias("text"), F.lit("l").alias("place")))
-    found = texts.select("text").distinct().withColumn("_hit", sensitive_text(F.col("text"))).where("_hit").select("text")
+    found = once(texts.select("text").distinct(), {"_hit": sensitive_text(F.col("text"))}).where("_hit").select("text")
     rows = texts.join(found, "text")
     if mailboxes is not None:
         rows = rows.join(mailboxes.select("graph", "s", "p", F.col("o").alias("text"), F.lit("o").alias("place")).distinct(), ["graph", "s", "p", "text", "place"], "left_anti")

@@ -256,11 +256,11 @@ def node_link_findings(spark, sf):
 def edition_findings(spark, sf):
     p, k = table(spark, sf, "part"), F.col("p_partkey")
     m = k % 20
-    group = F.floor(k / 2).cast("string")
+    group = F.floor((k + 1) / 2).cast("string")
     day = lambda s: F.lit(s).cast("date")
     odd = k % 2 == 1
-    succ = F.to_json(F.array(F.lit("authority"), F.when(m == 13, "elsewhere").otherwise(group), (k + 1).cast("string")))
-    other = F.to_json(F.array(F.lit("authority"), F.floor((k + 2) / 2).cast("string"), (k + 2).cast("string")))
+    succ = F.to_json(F.array(F.lit("authority"), group, (k + 1).cast("string")))
+    other = F.to_json(F.array(F.lit("authority"), F.floor((k + 3) / 2).cast("string"), (k + 2).cast("string")))
     key = F.when(m == 7, None).when(m == 11, F.lit('["a","b","c"]')).when(m == 13, other).when(odd, succ)
     ed = p.select("p_partkey", F.lit("authority").alias("network_authority"), group.alias("network_identifier"), k.cast("string").alias("network_version"),
                   F.when(m == 3, "bad").otherwise(F.sha2(k.cast("string"), 256)).alias("checksum"), F.when(m == 9, "withdrawn").when(odd, "superseded").otherwise("current").alias("status"),
@@ -327,11 +327,11 @@ def wkt_geometries(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", g.alias("g")).select("o_orderkey", F.col("g.type").alias("type"), F.when(F.col("g").isNotNull(), F.size("g.coords")).alias("positions"))
 
 
-@query("mercator_positions", """select o_orderkey, round(radians(o_orderkey % 360 - 180) * 6378137.0, 3) as x, round(ln(tan(radians(o_orderkey % 170 - 85) / 2 + pi() / 4)) * 6378137.0, 3) as y from orders""")
+@query("mercator_positions", """select o_orderkey, round(radians(o_orderkey % 360 - 180) * 6378137.0, 3) + 0.0::double as x, round(ln(tan(radians(o_orderkey % 170 - 85) / 2 + pi() / 4)) * 6378137.0, 3) + 0.0::double as y from orders""")
 def mercator_positions(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 360 - 180).cast("double").alias("lon"), (F.col("o_orderkey") % 170 - 85).cast("double").alias("lat"))
     out = geo.reproject(o, "lat", "lon", "http://www.opengis.net/def/crs/EPSG/0/4326", "http://www.opengis.net/def/crs/EPSG/0/3857", ("x", "y"))
-    return out.select("o_orderkey", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+    return out.select("o_orderkey", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"))
 
 
 @query("round_trip_errors", """select count(*) as positions, true as all_small from orders""")
