@@ -23,7 +23,9 @@ LINK_DEFINITION = r"^\s*\[[^\]]+\]:\s+\S"
 TABLE_DELIMITER = r"^\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$"
 SKIPPED = ("table", "blockquote", "comment", "metadata", "link-definition", "code", "blank", "fence", "front-matter", "heading-underline")
 ACRONYM = r"\b[A-Z][A-Z0-9]*(?:-[A-Z0-9]+)*\b"
-DEFINITION = r"(?:[A-Za-z][A-Za-z0-9\s-]{2,}\s*\(([A-Z][A-Z0-9-]{1,9})\)|\([^()]{2,},\s*([A-Z][A-Z0-9-]{1,9})\))"
+# A name starts where its run of letters starts, so a line is read once however long it is.
+DEFINITION = (r"(?:(?<![A-Za-z0-9\s-])[0-9\s-]*+[A-Za-z][A-Za-z0-9\s-]{2,}+\(([A-Z][A-Z0-9-]{1,9})\)"
+              r"|\([^()]{2,}?,\s*([A-Z][A-Z0-9-]{1,9})\))")
 IDENTIFIER = (r"^(?:(?:SRC|ADR|REQ|OPEN|C|T)-[A-Z0-9-]+|[PGL]\d+|H[1-6]|[A-Z]|I{1,3}|IV|V|VI{0,3}|IX|X|AGREED|VERIFIED|FINALIZED|ERROR|MUST"
               r"|GET|POST|PUT|PATCH|DELETE|AS-IS|TO-BE)$")
 SUPPRESSION = r"<!--\s*report-style-disable-next-line\s+([A-Z0-9,-]+)\s*:\s*(.+?)\s*-->"
@@ -172,7 +174,7 @@ def acronym_findings(lines: DataFrame, known: list[str], key: str = "doc_id") ->
     text = visible_text(lines)
     shown = lines.where(~F.col("skip")).select(key, "line_no", text.alias("t"))
     uses = shown.select(key, "line_no", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(ACRONYM), F.lit(0)))).alias("acronym"))
-    defined = shown.select(key, "line_no", F.explode(F.concat(*[F.regexp_extract_all("t", F.lit(DEFINITION), F.lit(i)) for i in (1, 2)])).alias("acronym")).where(F.col("acronym") != "")
+    defined = shown.where(F.contains("t", F.lit("("))).select(key, "line_no", F.explode(F.concat(*[F.regexp_extract_all("t", F.lit(DEFINITION), F.lit(i)) for i in (1, 2)])).alias("acronym")).where(F.col("acronym") != "")
     first = uses.where(~F.col("acronym").rlike(IDENTIFIER) & ~F.col("acronym").isin(known)).groupBy(key, "acronym").agg(F.min("line_no").alias("line_no"))
     meant = defined.groupBy(key, "acronym").agg(F.min("line_no").alias("_defined"))
     return first.join(meant, [key, "acronym"], "left").where(F.col("_defined").isNull() | (F.col("line_no") < F.col("_defined"))).select(key, "acronym", "line_no")

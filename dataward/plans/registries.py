@@ -19,12 +19,15 @@ def days(n):
 
 
 EPOCH = "timestamp '1996-01-01'"
-_BASE = F.lit("1996-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def base():
+    return F.lit("1996-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def approvals(spark: SparkSession, sf: str) -> DataFrame:
     """One approval per customer, in force for a span that depends on its nation."""
-    start = _BASE + days(F.col("c_custkey") % 1000)
+    start = base() + days(F.col("c_custkey") % 1000)
     return table(spark, sf, "customer").select(
         F.lit("orders").alias("source_system_id"), text("c_custkey").alias("record_id"), F.lit("1").alias("resource_version"),
         F.sha2((F.col("c_custkey") % 5).cast("string"), 256).alias("record_digest"),
@@ -108,14 +111,14 @@ def authority_registry(spark: SparkSession, sf: str) -> DataFrame:
         F.array(F.lit("data-transfer"), F.lit("catalog-publish")).alias("allowed_actions"),
         F.when(k % 7 == 0, "pending").otherwise("approved").alias("decision"),
         F.when(k % 5 == 0, "revoked").otherwise("current").alias("revocation_status"),
-        _BASE.alias("effective_from"), (_BASE + days(F.lit(1200))).cast("timestamp_ntz").alias("valid_until"),
-        (_BASE + days(k % 900)).cast("timestamp_ntz").alias("revocation_checked_at"),
+        base().alias("effective_from"), (base() + days(F.lit(1200))).cast("timestamp_ntz").alias("valid_until"),
+        (base() + days(k % 900)).cast("timestamp_ntz").alias("revocation_checked_at"),
         F.struct(F.concat(F.lit("evidence-"), (k % 40).cast("string")).alias("evidence_id"), F.lit("did:example:issuer").alias("issuer_id"),
                  did(F.floor(k / 2)).alias("subject_id"), F.lit("00").alias("artifact_sha256")).alias("basis"),
         F.struct(F.lit("verified").alias("status"),
                  F.when(k % 13 == 0, "did:example:stranger").otherwise("did:example:issuer").alias("approved_by"),
-                 F.lit("did:example:verifier").alias("verified_by"), (_BASE + days(F.lit(1))).cast("timestamp_ntz").alias("approved_at"),
-                 (_BASE + days(F.lit(2))).cast("timestamp_ntz").alias("verified_at")).alias("approval"))
+                 F.lit("did:example:verifier").alias("verified_by"), (base() + days(F.lit(1))).cast("timestamp_ntz").alias("approved_at"),
+                 (base() + days(F.lit(2))).cast("timestamp_ntz").alias("verified_at")).alias("approval"))
 
 
 @query("resolve_authority", """with req as (select l_orderkey, l_linenumber, l_partkey, cast(floor(l_suppkey / 2.0) as bigint) as provider, l_suppkey,
