@@ -46,7 +46,7 @@ _UNIT = """case when event_type in ('click','view') then '{event}' when event_ty
   when event_type='signup' then '{account}' end"""
 _USAGE = f"""usage as (select 'web-analytics' as component, 'tenant-' || user_id as tenant_id, event_id as event_no,
   event_type as meter_name, {_PURPOSE} as purpose, {_UNIT} as unit, ts as occurred_at,
-  cast(value as decimal(30,9)) as quantity, 'source-event-' || event_id as source_event_id,
+  nullif(cast(value as decimal(30,9)), 0) as quantity, 'source-event-' || event_id as source_event_id,
   json_extract_string(props,'$.k') as k,
   sha256('{{"k":"' || json_extract_string(props,'$.k') || '"}}') as dimensions_sha256,
   case when event_type = 'error' then 'USAGE_METER_UNKNOWN'
