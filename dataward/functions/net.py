@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dataward.functions.barrier import once
-from dataward.functions.sensitive import GRAPH_SECRETS, PERSONAL, matches_any
-from dataward.functions.unicode import nfkc
+from dataward.functions.sensitive import sensitive_folded
+from dataward.functions.unicode import folded as folded_text
 
 # Special-purpose address blocks (prefix, globally reachable) of the public registries,
 # the extra blocks that may not appear in links, and the allocated global unicast blocks.
@@ -138,10 +138,10 @@ def blocked_iri_reason(df: DataFrame, iri_col: str, out: str = "blocked_reason")
         "_raw": F.transform("_pairs", lambda p: F.coalesce(F.try_url_decode(F.get(F.split(p, "=", 2), F.lit(1))), F.lit(""))),
         "_dpath": decoded(F.col("_path")), "_dfragment": decoded(F.col("_fragment"))})
     again = once(plain, {"_deep": F.transform("_raw", decoded)})
-    folded = ip_class(again.withColumns({
-        "_values": nfkc(F.concat_ws("\n", "_raw", "_deep")),
-        "_parts": nfkc(F.concat_ws("\n", "_path", "_fragment", "_dpath", "_dfragment"))}), "_host")
-    sensitive = lambda c: F.coalesce(matches_any(F.col(c), GRAPH_SECRETS) | matches_any(F.col(c), PERSONAL), F.lit(False))
+    folded = ip_class(once(again, {
+        "_values": folded_text(F.concat_ws("\n", "_raw", "_deep")),
+        "_parts": folded_text(F.concat_ws("\n", "_path", "_fragment", "_dpath", "_dfragment"))}), "_host")
+    sensitive = lambda c: sensitive_folded(F.col(c))
     host = F.col("_host")
     local = (~F.contains(host, F.lit(".")) & ~F.contains(host, F.lit(":"))) | host.isin(*LOCAL_NAMES)
     for s in LOCAL_SUFFIXES:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dataward.functions.barrier import once
-from dataward.functions.unicode import nfkc
+from dataward.functions.unicode import folded
 
 # Secret patterns of change events, secret and personal patterns of public graphs.
 EVENT_SECRETS = (
@@ -62,17 +62,26 @@ def matches_any(col: Column, patterns) -> Column:
     return col.rlike("|".join(scoped))
 
 
+def has_personal(col: Column) -> Column:
+    """Personal data in a folded text. Each pattern needs an @ or three digits, which are cheap to test."""
+    mail, numbers = [p for p in PERSONAL if "@" in p], [p for p in PERSONAL if "@" not in p]
+    return (F.contains(col, F.lit("@")) & matches_any(col, mail)) | (col.rlike(r"\d{3}") & matches_any(col, numbers))
+
+
+def sensitive_folded(col: Column) -> Column:
+    return F.coalesce(matches_any(col, GRAPH_SECRETS) | has_personal(col), F.lit(False))
+
+
 def sensitive_text(col: Column) -> Column:
     """Whether a text holds a secret or personal data, after compatibility folding of the whole text."""
-    folded = nfkc(col)
-    return F.coalesce(matches_any(folded, GRAPH_SECRETS) | matches_any(folded, PERSONAL), F.lit(False))
+    return sensitive_folded(folded(col))
 
 
 def sensitive_kinds(df: DataFrame, text_col: str) -> DataFrame:
     """Add has_secret and has_personal for a text column; the text is folded once."""
-    return (once(df.withColumn("_folded", nfkc(F.col(text_col))), {"has_secret": F.coalesce(matches_any(F.col("_folded"), GRAPH_SECRETS), F.lit(False)),
-                          "has_personal": F.coalesce(matches_any(F.col("_folded"), PERSONAL), F.lit(False))})
-            .drop("_folded"))
+    ready = once(df, {"_folded": folded(F.col(text_col))})
+    return once(ready, {"has_secret": F.coalesce(matches_any(F.col("_folded"), GRAPH_SECRETS), F.lit(False)),
+                        "has_personal": F.coalesce(has_personal(F.col("_folded")), F.lit(False))}).drop("_folded")
 
 
 def scan_nested_secrets(df: DataFrame, json_col: str, keys: list[str], max_depth: int = 32) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dataward.functions.lexical import xsd_valid
+from dataward.functions.lineage import cut_lineage
 from dataward.operators.graph import RDF_TYPE, path
 
 NODE = ["graph", "node", "node_kind"]
@@ -195,8 +196,12 @@ def _as_focus(vals: DataFrame) -> DataFrame:
 
 
 def _conforming(q, vals, shape: Shape, ctx) -> DataFrame:
-    """Values of ``vals`` that conform to a shape, as (graph, v)."""
-    nodes = _as_focus(vals)
+    """Values of ``vals`` that conform to a shape, as (graph, v, v_kind).
+
+    The nodes are read several times below, so they are written once; otherwise each level of nesting
+    would multiply the plan.
+    """
+    nodes = cut_lineage(_as_focus(vals))
     broken = violations(q, nodes, shape, ctx).select("graph", "node").distinct()
     return nodes.join(broken, ["graph", "node"], "left_anti").select("graph", F.col("node").alias("v"), F.col("node_kind").alias("v_kind"))
 
@@ -320,7 +325,6 @@ def requirement_of(shapes: DataFrame, labels: DataFrame, max_depth: int = 32) ->
 
     ``labels``: graph, node, requirement_id. A part with its own label keeps it.
     """
-    from dataward.functions.lineage import cut_lineage
     down = cut_lineage(shapes.where(F.col("o_kind") == "bnode").select("graph", F.col("s").alias("node"), F.col("o").alias("_part")).distinct())
     known = cut_lineage(labels.select("graph", "node", "requirement_id").distinct())
     frontier = known
