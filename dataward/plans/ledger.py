@@ -233,3 +233,8 @@ def lifecycle(spark, sf):
   select k as transfer_id, n as step_no, code from f where code is not null""")
 def lifecycle_findings(spark, sf):
     return C.lifecycle_findings(lifecycle(spark, sf), F.floor(F.col("step_no") / 4))
+
+
+@query("scope_page", """select o_orderkey, o_custkey from orders where o_orderkey > 100 order by o_orderkey limit 50""")
+def scope_page(spark, sf):
+    return C.page_after(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 100, 50)

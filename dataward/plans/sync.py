@@ -318,3 +318,10 @@ def draft_gaps(spark, sf):
     agents = o.where(agent).select(F.concat(F.lit("g"), text("o_custkey")).alias("graph"), F.concat(F.lit("a"), (n % 7).cast("string")).alias("node"), F.lit("foaf:Agent").alias("kind"),
                                    *[F.lit(None).cast("string").alias(c) for c in ("property", "value", "value_kind", "lang")])
     return O.assess_gaps(nodes.unionByName(agents), ["dcat:Dataset"], "profile", ["dct:title"])
+
+
+@query("candidate_history", """select o_orderkey, list_sort(list_distinct([o_orderstatus, o_orderpriority, 'id-' || (o_custkey % 5)]))[1] as first_id, len(list_distinct([o_orderstatus, o_orderpriority, 'id-' || (o_custkey % 5)])) as ids from orders""")
+def candidate_history(spark, sf):
+    known = F.array("o_orderstatus", "o_orderpriority")
+    ids = S.candidate_history(known, F.concat(F.lit("id-"), (F.col("o_custkey") % 5).cast("string")))
+    return table(spark, sf, "orders").select("o_orderkey", ids.alias("h")).select("o_orderkey", F.col("h")[0].alias("first_id"), F.size("h").alias("ids"))
