@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dataward.llm.decontaminate import contamination
+from dataward.llm.fingerprints import fingerprints
+from dataward.llm.language_id import languages
 from dataward.llm.minhash_dedup import near_duplicates
 from dataward.llm.registry import QUERIES, SQL, query
 
@@ -12,6 +15,24 @@ def _table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op3_language_id")
+def op3_language_id(spark, sf):
+    return languages(_table(spark, sf, "documents"))
+
+
+@query("op5_fingerprints")
+def op5_fingerprints(spark, sf):
+    return fingerprints(_table(spark, sf, "documents"))
+
+
+@query("op6_decontaminate")
+def op6_decontaminate(spark, sf):
+    found = contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 @query("op8_minhash_dedup")
 def op8_minhash_dedup(spark, sf):
     return near_duplicates(_table(spark, sf, "documents"))
