@@ -8,6 +8,7 @@ from dataward.llm.decontaminate import contamination
 from dataward.llm.fingerprints import fingerprints
 from dataward.llm.language_id import languages
 from dataward.llm.minhash_dedup import near_duplicates
+from dataward.llm.packing import packed
 from dataward.llm.registry import QUERIES, SQL, query
 
 
@@ -38,6 +39,13 @@ def op8_minhash_dedup(spark, sf):
     return near_duplicates(_table(spark, sf, "documents"))
 
 
+@query("op10_packing")
+def op10_packing(spark, sf):
+    import public_tokenizers
+
+    return packed(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def all_queries() -> dict:
     return dict(QUERIES)
 
