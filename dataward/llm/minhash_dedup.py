@@ -143,14 +143,38 @@ def _with_both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
 
 
+def _sharing_rare(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (rep, mate) of different components that may still be links: no link between ``reps`` is missed.
+
+    Sort every set by how few of the sets hold a shingle. Two sets of a and b shingles that are linked have at
+    least o = percent / (100 + percent) * (a + b) in common, so they share one within the first a - o + 1 and
+    b - o + 1 of them. Near copies of one text have their own edits there and do not meet.
+    """
+    items = sets.join(reps, "rep").select("rep", "n_shingles", "component", F.explode("set").alias("shingle"))
+    held = items.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    # Shingles of one component alone take their place in the order but join nothing.
+    held = held.select("shingle", "n", (F.col("low") != F.col("high")).alias("open"))
+    first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
+    sorted_ = items.join(held, "shingle").groupBy("rep", "n_shingles", "component").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("n", "shingle", "open"))), F.lit(1), F.first(first).cast("int")).alias("rare"))
+    rare = written(sorted_.select("rep", "n_shingles", "component", F.posexplode("rare").alias("at", "x")).where("x.open").select(
+        "rep", "n_shingles", "component", "at", F.col("x.shingle").alias("shingle")))
+    mate = rare.select("shingle", *[F.col(c).alias(f"mate_{c}") for c in ("rep", "n_shingles", "component", "at")])
+    common = F.ceil((F.col("n_shingles") + F.col("mate_n_shingles")) * percent / (100 + percent))
+    return rare.join(mate, "shingle").where(
+        (F.col("component") < F.col("mate_component"))
+        & (F.col("at") <= F.col("n_shingles") - common) & (F.col("mate_at") <= F.col("mate_n_shingles") - common)).select(
+        "rep", F.col("mate_rep").alias("mate"))
+
+
 def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     Links are looked for between classes of equal sets. In a bucket of equal band keys every class is first
     compared with the least class alone; confirmed links are contracted to components, and only classes that
     share a bucket but no component yet are compared further: with the last class of the bucket, then with
-    each class of another component there whose set size allows a link. So a group of thousands of near
-    copies costs a row per copy and band, and no link that changes a component is lost.
+    those classes of other components that share a shingle among the rarest of both. So a group of thousands
+    of near copies costs a row per copy and band, and no link that changes a component is lost.
     """
     docs = extra_columns_dropped(docs, "doc_id", "text")
     rows = written(docs.mapInArrow(
@@ -188,12 +212,8 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
         open_ = marked.groupBy("band", "key").agg(F.min(end).alias("low"), F.max(end).alias("high")).where(
             F.col("low.component") != F.col("high.component"))
         if stage == "rest":
-            other = marked.join(open_.select("band", "key"), ["band", "key"])
-            mate = other.select("band", "key", F.col("rep").alias("mate"), F.col("component").alias("mate_component"), F.col("n_shingles").alias("mate_size"))
-            found = other.join(mate, ["band", "key"]).where(
-                (F.col("component") < F.col("mate_component"))
-                & (100 * F.least("n_shingles", "mate_size") >= spec.percent * F.greatest("n_shingles", "mate_size")))
-            pairs = found.select(*ordered(F.col("rep"), F.col("mate")))
+            left = marked.join(open_.select("band", "key"), ["band", "key"], "left_semi").select("rep", "n_shingles", "component").distinct()
+            pairs = _sharing_rare(written(left), sets, spec.percent).select(*ordered(F.col("rep"), F.col("mate")))
         else:
             hub = F.col("low" if stage == "least" else "high")
             pairs = marked.join(open_, ["band", "key"]).where(
