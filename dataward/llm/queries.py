@@ -9,7 +9,10 @@ from dataward.llm.fingerprints import fingerprints
 from dataward.llm.language_id import languages
 from dataward.llm.minhash_dedup import near_duplicates
 from dataward.llm.packing import packed
+from dataward.llm.paragraph_dedup import repeated_paragraphs
 from dataward.llm.registry import QUERIES, SQL, query
+from dataward.llm.suffix_dedup import repeated_passages
+from dataward.llm.toxicity import toxicity
 
 
 def _table(spark, sf, name):
@@ -21,6 +24,11 @@ def op3_language_id(spark, sf):
     return languages(_table(spark, sf, "documents"))
 
 
+@query("op4_paragraph_dedup")
+def op4_paragraph_dedup(spark, sf):
+    return repeated_paragraphs(_table(spark, sf, "documents"))
+
+
 @query("op5_fingerprints")
 def op5_fingerprints(spark, sf):
     return fingerprints(_table(spark, sf, "documents"))
@@ -34,11 +42,21 @@ def op6_decontaminate(spark, sf):
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query("op7_toxicity")
+def op7_toxicity(spark, sf):
+    return toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 @query("op8_minhash_dedup")
 def op8_minhash_dedup(spark, sf):
     return near_duplicates(_table(spark, sf, "documents"))
 
 
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark, sf):
+    return repeated_passages(_table(spark, sf, "documents"))
+
+
 @query("op10_packing")
 def op10_packing(spark, sf):
     import public_tokenizers
