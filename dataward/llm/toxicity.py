@@ -1,8 +1,9 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 Terms are the words of a text (ASCII digits and letters, A-Z lower-cased, and bytes above ASCII) and their
-first three and four bytes, hashed to 2^18 places; each counts once. The machine adds a weight for every
-term and the products of hidden factors for every pair, so a pair can count where its terms alone do not.
+first three and four bytes, hashed to 2^18 places; each counts once. Of these the fitted machine keeps the
+telling ones; it adds a weight for every term and the products of hidden factors for every pair, so that a
+pair can count more or less than its terms alone.
 
 Defined cases: null and empty texts score the bias; label rows without a document or a mark teach nothing,
 several marks of one id count as the largest; a repeated document counts each time; with no labels, or only
@@ -30,11 +31,14 @@ class Machine:
 
     bits: int = 18
     factors: int = 8
-    sample: int = 6000
-    epochs: int = 4
+    sample: int = 8000
+    epochs: int = 6
     batch: int = 64
-    rate: float = 0.05
+    rate: float = 0.1
+    factor_rate: float = 0.02
     decay: float = 1e-4
+    evidence: float = 4.0
+    least_rows: int = 3
     threshold: float = 0.3
 
 
@@ -73,6 +77,16 @@ class Fitted:
         return out
 
 
+def _telling(lists: list[np.ndarray], marks: np.ndarray, spec: Machine) -> np.ndarray:
+    """Which terms stand in toxic and other rows at shares that differ by ``evidence`` standard errors."""
+    size = 1 << spec.bits
+    one, two = (np.bincount(np.concatenate([lists[i] for i in np.flatnonzero(marks == m)]), minlength=size) for m in (1, 0))
+    a, b = int((marks == 1).sum()), int((marks == 0).sum())
+    share = (one + two) / (a + b)
+    error = np.sqrt(share * (1 - share) * (1 / a + 1 / b))
+    return (one + two >= spec.least_rows) & (np.abs(one / a - two / b) >= spec.evidence * np.maximum(error, 1e-12))
+
+
 def fit(lists: list[np.ndarray], marks: np.ndarray, spec: Machine) -> Fitted:
     """Fit by AdaGrad on the log loss, rows in a fixed shuffled order."""
     rng = np.random.default_rng(7)
@@ -82,7 +96,9 @@ def fit(lists: list[np.ndarray], marks: np.ndarray, spec: Machine) -> Fitted:
     weight = np.zeros(size)
     if len(np.unique(marks)) < 2:
         return Fitted(bias, weight, np.zeros((size, spec.factors)))
-    factor = rng.normal(0, 0.01, (size, spec.factors))
+    kept = _telling(lists, marks, spec)
+    lists = [x[kept[x]] for x in lists]
+    factor = rng.normal(0, 0.01, (size, spec.factors)) * kept[:, None]
     seen_w, seen_v, seen_b = np.full(size, 1e-2), np.full((size, spec.factors), 1e-2), 1e-2
     for _ in range(spec.epochs):
         order = rng.permutation(len(lists))
@@ -96,7 +112,7 @@ def fit(lists: list[np.ndarray], marks: np.ndarray, spec: Machine) -> Fitted:
             v = factor[used][local]
             total = np.add.reduceat(v, first)
             logit = bias + np.add.reduceat(weight[used][local], first) + 0.5 * ((total ** 2).sum(axis=1) - np.add.reduceat((v ** 2).sum(axis=1), first))
-            error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - marks[rows]) / len(rows)
+            error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - marks[rows])
             each = np.repeat(error, counts)
             step_w = np.bincount(local, each, len(used)) + spec.decay * weight[used]
             inner = each[:, None] * (np.repeat(total, counts, axis=0) - v)
@@ -105,7 +121,7 @@ def fit(lists: list[np.ndarray], marks: np.ndarray, spec: Machine) -> Fitted:
             seen_v[used] += step_v ** 2
             seen_b += error.sum() ** 2
             weight[used] -= spec.rate * step_w / np.sqrt(seen_w[used])
-            factor[used] -= spec.rate * step_v / np.sqrt(seen_v[used])
+            factor[used] -= spec.factor_rate * step_v / np.sqrt(seen_v[used])
             bias -= spec.rate * error.sum() / seen_b ** 0.5
     return Fitted(bias, weight, factor)
 
