@@ -10,6 +10,7 @@ from dataward.llm.language_id import languages
 from dataward.llm.minhash_dedup import near_duplicates
 from dataward.llm.packing import packed
 from dataward.llm.paragraph_dedup import repeated_paragraphs
+from dataward.llm.personal_data import personal_data
 from dataward.llm.registry import QUERIES, SQL, query
 from dataward.llm.suffix_dedup import repeated_passages
 from dataward.llm.toxicity import toxicity
@@ -19,6 +20,11 @@ def _table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op2_personal_data")
+def op2_personal_data(spark, sf):
+    return personal_data(_table(spark, sf, "documents"))
+
+
 @query("op3_language_id")
 def op3_language_id(spark, sf):
     return languages(_table(spark, sf, "documents"))
