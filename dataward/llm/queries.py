@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dataward.llm.decontaminate import contamination
 from dataward.llm.fingerprints import fingerprints
+from dataward.llm.html_text import page_texts
 from dataward.llm.language_id import languages
 from dataward.llm.minhash_dedup import near_duplicates
 from dataward.llm.packing import packed
@@ -20,6 +21,11 @@ def _table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_html_text")
+def op1_html_text(spark, sf):
+    return page_texts(_table(spark, sf, "pages"))
+
+
 @query("op2_personal_data")
 def op2_personal_data(spark, sf):
     return personal_data(_table(spark, sf, "documents"))
