@@ -175,7 +175,7 @@ def repeated_passages(docs: DataFrame, spec: Repeats = Repeats()) -> DataFrame:
     suffixes = docs.mapInArrow(_suffixes(spec), f"doc_id {kind}, key long, at int")
     shared = written(suffixes.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("doc_id.doc_id").alias("a"), F.max("doc_id.doc_id").alias("b")).where(F.col("a") != F.col("b")).select("key", "n"))
-    places = suffixes.join(shared, "key").groupBy("doc_id").agg(F.collect_set(F.struct("at", "key", "n")).alias("places"))
+    places = written(suffixes.join(shared, "key").groupBy("doc_id").agg(F.collect_set(F.struct("at", "key", "n")).alias("places")))
     one = docs.join(places.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     found = written(one.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(
         _contexts(spec), f"doc_id {kind}, key long, n long, at int, left binary, right binary"))
