@@ -24,6 +24,10 @@ from dataward.llm.components import components
 from dataward.llm.shared import extra_columns_dropped, written
 
 
+#: Places of the bitmap that tells tasks which texts are compared: 4 MB, whatever the number of texts.
+PLACES = 1 << 22
+
+
 @dataclass(frozen=True)
 class NearDuplicates:
     """Linked are documents with 100 * intersection >= percent * union.
@@ -92,16 +96,17 @@ def _place(per_row: np.ndarray) -> pa.Array:
     return pa.array(np.where(per_row > 0, place, 0), mask=per_row == 0)
 
 
-def _sets(spec: NearDuplicates):
-    """A map over (doc_id, text): the sorted set of each text."""
+def _sets(spec: NearDuplicates, bits):
+    """A map over (doc_id, text, place): the sorted set of each text whose place is set in ``bits``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(bits.value[batch.column(2).to_numpy()]))
             for low, high, data, bounds in arrays.text_slices(batch.column(1)):
                 sets = arrays.shingle_sets(data, bounds, arrays.BLANK_WORDS, spec.words)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(low, high - low),
-                    arrays.list_array(np.concatenate(sets).view(np.int64), [len(s) for s in sets])], ["doc_id", "set"])
+                    arrays.list_array(np.concatenate(sets).view(np.int64), [len(s) for s in sets])], ["rep", "set"])
 
     return run
 
@@ -189,10 +194,15 @@ def near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) ->
     shared = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
     buckets = written(buckets.join(shared, ["band", "key"]))
     inside = buckets.select("rep").distinct()
-    needed = docs.join(inside, docs["doc_id"] == inside["rep"], "left_semi").dropDuplicates(["doc_id"])
-    sets = written(needed.mapInArrow(_sets(spec), f"rep {docs.schema['doc_id'].dataType.simpleString()}, set array<long>"))
-    signatures = chosen.join(inside, "rep", "left_semi").select("rep", "signature")
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    # Texts are not shuffled: a bitmap of fixed size lets through all that are needed and few others.
+    place = F.pmod(F.xxhash64("rep"), F.lit(PLACES))
+    bits = np.zeros(PLACES, dtype=bool)
+    bits[inside.select(place.alias("x")).distinct().toArrow().column("x").to_numpy()] = True
+    bits = docs.sparkSession.sparkContext.broadcast(bits)
+    near = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("rep"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).alias("x"))
+    sets = written(near.mapInArrow(_sets(spec, bits), f"rep {id_type}, set array<long>").join(inside, "rep", "left_semi").dropDuplicates(["rep"]))
+    signatures = chosen.join(inside, "rep", "left_semi").select("rep", "signature")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         near = _with_both(pairs, signatures, "signature").mapInArrow(_similar_signatures(spec), f"a {id_type}, b {id_type}")

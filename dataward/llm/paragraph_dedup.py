@@ -3,7 +3,7 @@
 A paragraph is a line of at least ``min_words`` words. Its five-word shingles are banded, colliding
 paragraphs are confirmed by exact Jaccard and clustered by components. A passage that stands inside other
 text has no line of its own: runs of ``core`` words that begin at content-chosen places are compared as
-they are (Jaccard 1), and runs that continue each other are joined. Of each class the first passage stays.
+they are (Jaccard 1), and runs that continue each other are joined. Of each class one passage stays.
 
 Defined cases: null and empty texts and rows without an id have no passages; rows of one id with other
 texts come back each; repeated rows count once; no repeats give an empty result.
@@ -37,15 +37,15 @@ class Passages:
     """A shared passage of ``core + width - 1`` words or more (50 by default) is found wherever it stands."""
 
     percent: int = 80
-    rows: int = 3
-    miss: float = 0.002
+    rows: int = 2
+    miss: float = 0.0025
     min_words: int = 40
-    core: int = 39
-    width: int = 12
+    core: int = 35
+    width: int = 16
 
 
 def _paragraphs(spec: Passages):
-    """A map over (doc_id, text): (id of document and first word, text) of each paragraph."""
+    """A map over (doc, text): document, first word, number of words and text of each paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,17 +56,17 @@ def _paragraphs(spec: Passages):
                 owner = np.searchsorted(bounds, cuts[:-1], "right") - 1
                 long_ = np.flatnonzero(np.diff(first) >= spec.min_words)
                 raw = data.tobytes()
-                ids = batch.column(0).take(pa.array(low + owner[long_]))
-                at = (first[long_] - words.first[owner[long_]]).astype(np.int32)
-                texts = [raw[words.start[first[k]]:words.end[first[k + 1] - 1]].decode() for k in long_]
-                name = pa.StructArray.from_arrays([ids, pa.array(at), pa.array(np.diff(first)[long_].astype(np.int32))], ["doc", "at", "words"])
-                yield pa.RecordBatch.from_arrays([name, pa.array(texts, pa.string())], ["doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(pa.array(low + owner[long_])),
+                    pa.array((first[long_] - words.first[owner[long_]]).astype(np.int32)), pa.array(np.diff(first)[long_].astype(np.int32)),
+                    pa.array([raw[words.start[first[k]]:words.end[first[k + 1] - 1]].decode() for k in long_], pa.string())],
+                    ["doc", "at", "words", "text"])
 
     return run
 
 
 def _runs(spec: Passages):
-    """A map over (doc_id, text): the hash of the core-word run at each chosen place."""
+    """A map over (doc, text): the hash of the core-word run at each chosen place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,66 +82,68 @@ def _runs(spec: Passages):
 
 
 def _joined(spec: Passages):
-    """A map over (doc, text, lines, runs): one row for each passage, in code points."""
+    """A map over (doc_id, doc, text, lines, runs): one row for each passage, in code points."""
 
-    def passages(doc, lines: list[dict], runs: list[dict]) -> list[tuple]:
-        out = [(x["at"], x["at"] + x["words"], x["class"]["doc"], x["class"]["at"]) for x in lines]
+    def passages(doc: int, lines: list[dict], runs: list[dict]) -> list[tuple]:
+        out = [(x["at"], x["at"] + x["words"], x["class"], x["class"] != x["id"]) for x in lines]
         whole = [(a, b) for a, b, *_ in out]
-        by_shift: dict = {}
+        by_class: dict[int, list[int]] = {}
         for x in runs:
-            by_shift.setdefault((repr(x["class"]["doc"]), x["class"]["at"] - x["at"]), []).append(x)
-        for found in by_shift.values():
-            found.sort(key=lambda x: x["at"])
+            by_class.setdefault(x["class"], []).append(x["at"])
+        for name, found in by_class.items():
+            found.sort()
             begin = 0
             for k in range(1, len(found) + 1):
-                if k == len(found) or found[k]["at"] > found[k - 1]["at"] + spec.core:
-                    a, b = found[begin]["at"], found[k - 1]["at"] + spec.core
+                if k == len(found) or found[k] > found[k - 1] + spec.core:
+                    a, b = found[begin], found[k - 1] + spec.core
                     if not any(x <= a and b <= y for x, y in whole):
-                        out.append((a, b, found[begin]["class"]["doc"], found[begin]["class"]["at"]))
+                        out.append((a, b, name, name != doc))
                     begin = k
-        return sorted(out, key=lambda x: x[:2])
+        return sorted(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            lines, runs = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for low, high, data, bounds in arrays.text_slices(batch.column(1)):
+            names, docs = batch.column(0), batch.column(1).to_pylist()
+            lines, runs = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for low, high, data, bounds in arrays.text_slices(batch.column(2)):
                 words = arrays.Words(data, bounds, arrays.BLANK_WORDS)
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                rows = []
+                owner, rows = [], []
                 for i in range(low, high):
                     first, base = words.first[i - low], points[bounds[i - low]]
-                    for a, b, doc, at in passages(names[i], lines[i] or [], runs[i] or []):
-                        rows.append((names[i]["doc_id"], int(points[words.start[first + a]] - base), int(points[words.end[first + b - 1]] - base),
-                                     b - a, doc["doc_id"], at, (doc, at) != (names[i], a)))
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-                kind = batch.column(0).type.field(0).type
-                types = (kind, pa.int64(), pa.int64(), pa.int64(), kind, pa.int64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _OUT)
+                    for a, b, name, removed in passages(docs[i], lines[i] or [], runs[i] or []):
+                        owner.append(i)
+                        rows.append((int(points[words.start[first + a]] - base), int(points[words.end[first + b - 1]] - base), b - a, name, removed))
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(owner, pa.int64()))] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)], _OUT)
 
     return run
 
 
-_OUT = ["doc_id", "start", "end", "n_words", "class_doc", "class_word", "removed"]
+_OUT = ["doc_id", "start", "end", "n_words", "class_id", "removed"]
 
 
 def repeated_paragraphs(docs: DataFrame, spec: Passages = Passages()) -> DataFrame:
     """A row for each passage of ``docs`` (doc_id, text) that stands in two documents: doc_id, start and end
-    (code points), n_words, the document and first word of its class, and whether it would be removed."""
-    docs = extra_columns_dropped(docs, "doc_id", "text").where(F.col("doc_id").isNotNull())
-    id_kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text")).alias("doc"), "text")
-    kind = docs.schema["doc"].dataType.simpleString()
-    paragraphs = docs.mapInArrow(_paragraphs(spec), f"doc_id struct<doc:{kind},at:int,words:int>, text string")
-    classes = near_duplicates(paragraphs, tuned(spec.percent, spec.rows, spec.miss)).select(F.col("doc_id").alias("p"), F.col("component_id").alias("c"))
-    shared = classes.groupBy("c").agg(F.min("p.doc.doc_id").alias("a"), F.max("p.doc.doc_id").alias("b")).where("a != b").select("c")
-    lines = classes.join(shared, "c").groupBy(F.col("p.doc").alias("doc")).agg(F.collect_set(
-        F.struct(F.col("p.at").alias("at"), F.col("p.words").alias("words"), F.struct(F.col("c.doc").alias("doc"), F.col("c.at").alias("at")).alias("class"))).alias("lines"))
-    runs = docs.mapInArrow(_runs(spec), f"doc {kind}, key long, at int")
-    met = written(runs.groupBy("key").agg(
-        F.min(F.struct("doc", "at")).alias("class"), F.max("doc.doc_id").alias("b")).where(F.col("class.doc.doc_id") != F.col("b")).select("key", "class"))
+    (code points), n_words, the class of equal or near passages, and whether all but one of it would go.
+
+    Documents and paragraphs go by 64-bit hashes of their id, text and place.
+    """
+    docs = extra_columns_dropped(docs, "doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.withColumn("doc", F.xxhash64("doc_id", "text"))
+    units = docs.select("doc", "text").mapInArrow(_paragraphs(spec), "doc long, at int, words int, text string").withColumn("id", F.xxhash64("doc", "at"))
+    where = written(units.drop("text"))
+    classes = near_duplicates(units.select(F.col("id").alias("doc_id"), "text"), tuned(spec.percent, spec.rows, spec.miss))
+    classes = written(where.join(classes.select(F.col("doc_id").alias("id"), F.col("component_id").alias("class")).distinct(), "id"))
+    shared = classes.groupBy("class").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a != b").select("class")
+    lines = classes.join(shared, "class").groupBy("doc").agg(F.collect_set(F.struct("at", "words", "class", "id")).alias("lines"))
+    runs = docs.select("doc", "text").mapInArrow(_runs(spec), "doc long, key long, at int")
+    met = written(runs.groupBy("key").agg(F.min("doc").alias("class"), F.max("doc").alias("b")).where(F.col("class") != F.col("b")).select("key", "class"))
     runs = runs.join(met, "key").groupBy("doc").agg(F.collect_set(F.struct("at", "class")).alias("runs"))
     found = written(lines.join(runs, "doc", "full"))
-    texts = docs.join(found.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
-    return texts.join(found, "doc").select("doc", "text", "lines", "runs").mapInArrow(
-        _joined(spec), f"doc_id {id_kind}, start long, end long, n_words long, class_doc {id_kind}, class_word long, removed boolean")
+    texts = docs.join(found.select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
+    return texts.join(found, "doc").select("doc_id", "doc", "text", "lines", "runs").mapInArrow(
+        _joined(spec), f"doc_id {kind}, start long, end long, n_words long, class_id long, removed boolean")
