@@ -103,19 +103,17 @@ def fit(lists: list[np.ndarray], marks: np.ndarray, spec: Machine) -> Fitted:
     for _ in range(spec.epochs):
         order = rng.permutation(len(lists))
         for low in range(0, len(order), spec.batch):
-            rows = [i for i in order[low:low + spec.batch] if len(lists[i])]
-            if not rows:
-                continue
+            rows = order[low:low + spec.batch]
             used, local = np.unique(np.concatenate([lists[i] for i in rows]), return_inverse=True)
-            counts = np.array([len(lists[i]) for i in rows])
-            first = np.cumsum(counts) - counts
+            owner = np.repeat(np.arange(len(rows)), [len(lists[i]) for i in rows])
             v = factor[used][local]
-            total = np.add.reduceat(v, first)
-            logit = bias + np.add.reduceat(weight[used][local], first) + 0.5 * ((total ** 2).sum(axis=1) - np.add.reduceat((v ** 2).sum(axis=1), first))
-            error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - marks[rows])
-            each = np.repeat(error, counts)
+            total = np.stack([np.bincount(owner, v[:, k], len(rows)) for k in range(spec.factors)], axis=1)
+            logit = bias + np.bincount(owner, weight[used][local], len(rows)) + 0.5 * (
+                (total ** 2).sum(axis=1) - np.bincount(owner, (v ** 2).sum(axis=1), len(rows)))
+            error = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - marks[rows]
+            each = error[owner]
             step_w = np.bincount(local, each, len(used)) + spec.decay * weight[used]
-            inner = each[:, None] * (np.repeat(total, counts, axis=0) - v)
+            inner = each[:, None] * (total[owner] - v)
             step_v = np.stack([np.bincount(local, inner[:, k], len(used)) for k in range(spec.factors)], axis=1) + spec.decay * factor[used]
             seen_w[used] += step_w ** 2
             seen_v[used] += step_v ** 2
