@@ -17,12 +17,12 @@ SAFE_ATTRIBUTES = (
 )
 SAFE_SUFFIXES = ("component", "operation", "result", "tenant_bucket")
 REDACTED = "[REDACTED]"
-TEXT_LIMIT = 4096
 
 
-def redact_text(col: Column) -> Column:
-    """Replace secret-looking spans over the whole text, then keep the first 4,096 characters."""
-    return F.substring(F.regexp_replace(col, SECRET_VALUE, REDACTED), 1, TEXT_LIMIT)
+def redact_text(col: Column, limit: int | None = None) -> Column:
+    """Replace secret-looking spans over the whole text; ``limit`` then keeps that many first characters."""
+    text = F.regexp_replace(col, SECRET_VALUE, REDACTED)
+    return text if limit is None else F.substring(text, 1, limit)
 
 
 def redact_map(col: Column) -> Column:

@@ -56,7 +56,7 @@ def stream_hourly_totals(spark, sf):
     schema = table(spark, sf, "events").schema
     base = spark.conf.get("spark.checkpoint.dir", None)
     folder = tempfile.mkdtemp(prefix="dataward-stream-") if base is None and spark.sparkContext.master.startswith("local") else f"{base}/stream-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
-    ev = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).select(
+    ev = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]").select(
         F.col("ts").cast("timestamp").alias("occurred_at"), F.lit("web").alias("component"), F.lit("all").alias("tenant_id"), F.col("event_type").alias("meter_name"),
         F.lit("operational").alias("purpose"), F.lit("{event}").alias("unit"), F.lit("none").alias("dimensions_sha256"), F.col("value").cast("decimal(30,9)").alias("quantity"))
     run = (stream_rollup(ev, "0 seconds").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")

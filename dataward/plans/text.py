@@ -126,7 +126,7 @@ def sensitive_documents(spark, sf):
     return X.sensitive_kinds(table(spark, sf, "documents"), "text").select("doc_id", "has_secret", "has_personal")
 
 
-@query("redacted_conversations", f"""select conv_id, turn, left(regexp_replace(text, '(?i)(?:bearer\\s+[a-z0-9._~+/-]+=*|-----BEGIN [A-Z ]*PRIVATE KEY-----|(?:password|secret|token|api[-_]?key)\\s*[=:]\\s*\\S+)', '[REDACTED]', 'g'), 4096) as text from conversations""")
+@query("redacted_conversations", f"""select conv_id, turn, regexp_replace(text, '(?i)(?:bearer\\s+[a-z0-9._~+/-]+=*|-----BEGIN [A-Z ]*PRIVATE KEY-----|(?:password|secret|token|api[-_]?key)\\s*[=:]\\s*\\S+)', '[REDACTED]', 'g') as text from conversations""")
 def redacted_conversations(spark, sf):
     return RD.redact(table(spark, sf, "conversations"), ["text"]).select("conv_id", "turn", "text")
 

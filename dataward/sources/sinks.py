@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,11 +17,41 @@ def write_snapshot(df: DataFrame, root: str, version: int) -> str:
 
 
 def overwrite_range(rollup: DataFrame, path: str) -> None:
-    """Write rollup rows by day, replacing only the days that ``rollup`` holds."""
+    """Write whole days of the rollup, replacing all rows of the days that ``rollup`` holds.
+
+    For one meter or some hours use ``replace_range``, which leaves all others as they are.
+    """
     days = rollup.withColumn("period_date", F.to_date("period_start"))
     days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period_date").parquet(path)
 
 
+def replace_range(rollup: DataFrame, path: str, component: str, tenant_id: str, meter_name: str, start, end) -> None:
+    """Replace the hours in ``[start, end)`` of one meter of one tenant by ``rollup``, and nothing else.
+
+    The days that the range touches are written to a folder beside the table first, with all their other
+    rows, and then take the place of the old ones; hours without a new row end empty.
+    """
+    spark = rollup.sparkSession
+    key = ((F.col("component") == component) & (F.col("tenant_id") == tenant_id) & (F.col("meter_name") == meter_name)
+           & (F.col("period_start") >= F.lit(start).cast("timestamp_ntz")) & (F.col("period_start") < F.lit(end).cast("timestamp_ntz")))
+    stored = spark.read.parquet(path)
+    days = (F.col("period_date") >= F.to_date(F.lit(start))) & (F.col("period_date") <= F.to_date(F.lit(end)))
+    fresh = rollup.where(key).withColumn("period_date", F.to_date("period_start"))
+    staging = f"{path.rstrip('/')}-staging-{uuid.uuid4().hex}"
+    # A day that loses its last row keeps a mark without a meter, so that its old files are replaced as well.
+    emptied = stored.where(days).select("period_date").distinct().select(
+        *[F.col(c) if c == "period_date" else F.lit(None).cast(stored.schema[c].dataType).alias(c) for c in stored.columns])
+    rest = stored.where(days & ~F.coalesce(key, F.lit(False)) & F.col("meter_name").isNotNull())
+    rest.unionByName(fresh.select(*stored.columns)).unionByName(emptied).write.parquet(staging)
+    spark.read.schema(stored.schema).parquet(staging).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("period_date").parquet(path)
+
+
+def read_rollup(spark: SparkSession, path: str) -> DataFrame:
+    """The stored rollup rows, without the marks of emptied days."""
+    return spark.read.parquet(path).where(F.col("meter_name").isNotNull())
+
+
 def to_register_csv(df: DataFrame, path: str) -> None:
     """CSV with array, map and struct cells as JSON."""
     nested = (T.ArrayType, T.MapType, T.StructType)

@@ -52,6 +52,27 @@ def test_snapshots_and_ranges(spark, folder):
     assert sorted(r["quantity"] for r in spark.read.parquet(folder + "/r").collect()) == [1, 9]
 
 
+def test_replace_range_leaves_all_else(spark, folder):
+    def rows(*cells):
+        return spark.createDataFrame([("web", "t", m, f"2024-01-0{d} 0{h}:00:00", q) for m, d, h, q in cells], "component string, tenant_id string, meter_name string, t string, quantity int").select(
+            "component", "tenant_id", "meter_name", F.col("t").cast("timestamp_ntz").alias("period_start"), "quantity")
+
+    def stored():
+        return sorted((r["meter_name"], r["period_start"].day, r["period_start"].hour, r["quantity"]) for r in sinks.read_rollup(spark, folder + "/x").collect())
+
+    sinks.overwrite_range(rows(("m1", 1, 1, 1), ("m1", 1, 2, 2), ("m1", 1, 9, 3), ("m2", 1, 1, 4), ("m1", 2, 1, 5), ("m1", 3, 1, 6)), folder + "/x")
+    sinks.replace_range(rows(("m1", 1, 1, 10)), folder + "/x", "web", "t", "m1", "2024-01-01 01:00:00", "2024-01-01 03:00:00")
+    assert stored() == [("m1", 1, 1, 10), ("m1", 1, 9, 3), ("m1", 2, 1, 5), ("m1", 3, 1, 6), ("m2", 1, 1, 4)]
+    sinks.replace_range(rows(), folder + "/x", "web", "t", "m1", "2024-01-02 00:00:00", "2024-01-03 00:00:00")
+    assert stored() == [("m1", 1, 1, 10), ("m1", 1, 9, 3), ("m1", 3, 1, 6), ("m2", 1, 1, 4)]
+
+
+def test_candidate_history_keeps_all(spark):
+    from dataward.operators.sync import candidate_history
+    df = spark.range(1).select(candidate_history(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: i.cast("string")), F.lit("new")).alias("ids"))
+    assert len(df.first()["ids"]) == 61
+
+
 def test_quantities(spark):
     cases = [("1.500", "1.5"), ("0.000", None), ("0", None), ("01", None), ("10", "10"), ("1.0000000001", None), ("0.000000001", "0.000000001"), ("1e3", None)]
     df = spark.createDataFrame(cases, "q string, want string")
