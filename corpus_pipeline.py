@@ -14,9 +14,6 @@ from dataward.llm.packing import packed
 from dataward.llm.personal_data import redacted
 from dataward.llm.shared import shared_folder
 
-#: A document whose best cosine with a language profile is below this is in no known language.
-LEAST_SCORE = 0.02
-
 
 def _kept(docs: DataFrame, keep: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id is in ``keep`` (doc_id, each once)."""
@@ -24,8 +21,8 @@ def _kept(docs: DataFrame, keep: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: texts without letters and unlike every language go."""
-    found = languages(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    """Documents that have a language: null texts and texts without a letter go."""
+    found = languages(docs).where(F.col("lang_pred") != "und")
     return _kept(docs, found.select("doc_id").distinct())
 
 
