@@ -135,7 +135,9 @@ def repeated_paragraphs(docs: DataFrame, spec: Passages = Passages()) -> DataFra
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.withColumn("doc", F.xxhash64("doc_id", "text"))
     units = docs.select("doc", "text").mapInArrow(_paragraphs(spec), "doc long, at int, words int, text string").withColumn("id", F.xxhash64("doc", "at"))
-    where = written(units.drop("text"))
+    # Written once: cutting again inside each pass of the clustering would chain two Python workers in every task.
+    units = written(units)
+    where = units.drop("text")
     classes = near_duplicates(units.select(F.col("id").alias("doc_id"), "text"), tuned(spec.percent, spec.rows, spec.miss))
     classes = written(where.join(classes.select(F.col("doc_id").alias("id"), F.col("component_id").alias("class")).distinct(), "id"))
     shared = classes.groupBy("class").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a != b").select("class")
