@@ -37,6 +37,11 @@ class Repeats:
     def core(self) -> int:
         return self.min_words - self.width + 1
 
+    @property
+    def reach(self) -> int:
+        """Words on either side of a core: the kept places of a passage leave no more than these at its ends."""
+        return self.width - 1
+
 
 def _suffixes(spec: Repeats):
     """A map over (doc_id, text): the key of each kept suffix, once per text."""
@@ -65,7 +70,7 @@ def _contexts(spec: Repeats):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = spec.width
+        reach = spec.reach
         for batch in batches:
             for low, high, data, bounds in arrays.text_slices(batch.column(1)):
                 words = arrays.Words(arrays.lower(data), bounds, arrays.BLANK_WORDS)
@@ -99,8 +104,8 @@ def _extended(spec: Repeats):
         return np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1))
 
     def words(column: pa.Array) -> np.ndarray:
-        empty = bytes(spec.width * 4)
-        return np.frombuffer(b"".join(x or empty for x in column.to_pylist()), ">u4").reshape(-1, spec.width)
+        empty = bytes(spec.reach * 4)
+        return np.frombuffer(b"".join(x or empty for x in column.to_pylist()), ">u4").reshape(-1, spec.reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,9 +181,16 @@ def repeated_passages(docs: DataFrame, spec: Repeats = Repeats()) -> DataFrame:
     shared = written(suffixes.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("doc_id.doc_id").alias("a"), F.max("doc_id.doc_id").alias("b")).where(F.col("a") != F.col("b")).select("key", "n"))
     places = written(suffixes.join(shared, "key").groupBy("doc_id").agg(F.collect_set(F.struct("at", "key", "n")).alias("places")))
-    one = docs.join(places.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    found = written(one.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(
-        _contexts(spec), f"doc_id {kind}, key long, n long, at int, left binary, right binary"))
+
+    def with_text(part: DataFrame) -> DataFrame:
+        """Rows of ``part`` with their text, once. Join and de-duplication share plain keys, so texts move once."""
+        keys = [F.col("doc_id.doc_id").alias("id"), F.col("doc_id.text").alias("hash")]
+        rest = [c for c in part.columns if c != "doc_id"]
+        both = docs.select(*keys, "text").join(part.select(*keys, *rest), ["id", "hash"]).dropDuplicates(["id", "hash"])
+        return both.select(F.struct(F.col("id").alias("doc_id"), F.col("hash").alias("text")).alias("doc_id"), "text", *rest)
+
+    found = with_text(places).select("doc_id", "text", "places").mapInArrow(
+        _contexts(spec), f"doc_id {kind}, key long, n long, at int, left binary, right binary")
     found = found.withColumn("block", F.when(F.col("n") <= spec.block, F.lit(0)).otherwise(
         F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / spec.block))))
     mate = F.struct(F.col("doc_id.doc_id").alias("doc_id"), "left", "right")
@@ -193,6 +205,5 @@ def repeated_passages(docs: DataFrame, spec: Repeats = Repeats()) -> DataFrame:
     matches = near.mapInArrow(_extended(spec), f"doc_id {kind}, partner {id_kind}, start long, end long")
     regions = written(matches.groupBy("doc_id").agg(
         merged(F.collect_list(F.struct("start", "end"))).alias("spans"), F.array_sort(F.collect_set("partner")).alias("partners")))
-    texts = docs.join(regions.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return texts.join(regions, "doc_id").select("doc_id", "text", "spans", "partners").mapInArrow(
+    return with_text(regions).select("doc_id", "text", "spans", "partners").mapInArrow(
         _char_spans, f"doc_id {kind}, n_words long, spans array<struct<start:bigint,end:bigint>>, partners array<{id_kind}>").withColumn("doc_id", F.col("doc_id.doc_id"))
