@@ -128,22 +128,22 @@ def requirement_inventory(spark, sf):
     return C.requirement_inventory(props).select("requirement_id", "cardinality", "range", "vocabulary", "obligation")
 
 
-@query("requirement_coverage", """with c as (select l_partkey as k, bool_or(l_returnflag = 'A') as p, bool_or(l_returnflag = 'R') as n from lineitem where l_quantity > 46 group by 1)
+@query("requirement_coverage", """with c as (select l_partkey as k, bool_or(l_returnflag = 'A' and l_quantity > 46) as p, bool_or(l_returnflag = 'R' and l_quantity > 46) as n from lineitem group by 1)
   select 'REQ-' || p_partkey as requirement_id, coalesce(p, false) as positive, coalesce(n, false) as negative,
     case when not (coalesce(p, false) and coalesce(n, false)) then 'BLK-' || upper(substr(sha256('REQ-' || p_partkey), 1, 12)) end as blocker_id from part left join c on k = p_partkey""")
 def requirement_coverage(spark, sf):
     name = lambda c: F.concat(F.lit("REQ-"), F.col(c).cast("string")).alias("requirement_id")
-    cases = table(spark, sf, "lineitem").where(F.col("l_quantity") > 46).select(name("l_partkey"), F.when(F.col("l_returnflag") == "A", "positive").when(F.col("l_returnflag") == "R", "negative").alias("polarity"))
+    cases = table(spark, sf, "lineitem").select(name("l_partkey"), F.when((F.col("l_returnflag") == "A") & (F.col("l_quantity") > 46), "positive").when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 46), "negative").alias("polarity"))
     return C.requirement_coverage(table(spark, sf, "part").select(name("p_partkey")), cases)
 
 
 @query("runtime_coverage", """with r as (select s_suppkey % 7 as req, l_linenumber as profile, count(distinct l_partkey) as fixtures, bool_or(l_returnflag = 'A') as p, bool_or(l_returnflag = 'R') as n
-    from lineitem join supplier on s_suppkey = l_suppkey where l_quantity > 40 group by 1, 2)
+    from lineitem join supplier on s_suppkey = l_suppkey group by 1, 2)
   select req, 'p' || profile as profile, fixtures, p as positive, n as negative from r""")
 def runtime_coverage(spark, sf):
     reqs = table(spark, sf, "supplier").select((F.col("s_suppkey") % 7).alias("requirement_id")).distinct()
     profiles = table(spark, sf, "lineitem").select(F.concat(F.lit("p"), F.col("l_linenumber").cast("string")).alias("profile"), F.sequence(F.lit(0), F.lit(6)).cast("array<bigint>").alias("requirement_ids")).distinct()
-    runs = table(spark, sf, "lineitem").where(F.col("l_quantity") > 40).select(
+    runs = table(spark, sf, "lineitem").select(
         F.concat(F.lit("p"), F.col("l_linenumber").cast("string")).alias("profile"), F.array(F.col("l_suppkey") % 7).alias("requirement_ids"), F.col("l_partkey").alias("fixture_id"),
         F.when(F.col("l_returnflag") == "A", "accept").when(F.col("l_returnflag") == "R", "reject").otherwise("other").alias("expected"))
     return C.runtime_coverage(reqs, profiles, runs).select(F.col("requirement_id").alias("req"), "profile", "fixtures", "positive", "negative")

@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from dataward.functions.lexical import identity_valid, rfc3339_valid, xsd_valid
+from dataward.operators import graph as G
 from dataward.plans.graph import XSD, quads
 from dataward.plans.registry import query
 from dataward.sources.feeds import file_digests, parse_nquads
@@ -14,10 +15,10 @@ from dataward.sources.sinks import ntriples
 from dataward.sources.tables import table
 
 
-@query("statement_lines", """select p, o_kind, count(*) as quads from (select 'urn:x:name' as p, 'literal' as o_kind from customer union all select 'urn:x:nation', 'iri' from customer union all select 'urn:x:segment', 'literal' from customer
+@query("statement_lines", f"""select p, o_kind, count(*) as quads from (select '{G.RDF_TYPE}' as p, 'iri' as o_kind from customer union all select 'urn:x:name', 'literal' from customer union all select 'urn:x:nation', 'iri' from customer union all select 'urn:x:segment', 'literal' from customer
   union all select 'urn:x:balance', 'literal' from customer) group by 1, 2""")
 def statement_lines(spark, sf):
-    q = quads(spark, sf).where(F.col("s").startswith("urn:x:c") & ~F.col("p").endswith("type"))
+    q = quads(spark, sf).where(F.col("s").startswith("urn:x:c"))
     back, _ = parse_nquads(ntriples(q, "main"), "value", "main")
     return back.join(q, ["graph", "s", "p", "o", "o_kind"], "left_semi").groupBy("p", "o_kind").agg(F.count(F.lit(1)).alias("quads"))
 

@@ -12,6 +12,7 @@ from dataward.operators import graph_rules as R
 from dataward.operators.graph import RDF, RDF_TYPE
 from dataward.plans.graph import EX, XSD, iri, statements
 from dataward.plans.registry import query
+from dataward.plans.text import PERSONAL, SECRETS, quoted
 from dataward.sources.tables import table
 
 BASE = "https://data.example.org/"
@@ -72,11 +73,11 @@ def role_mailboxes(spark, sf):
     return R.role_mailbox_ok(q, ["mailto:office@data.example.org"], VCARD + "hasEmail", R.DCAT + "contactPoint", VCARD + "Organization").select("s")
 
 
-@query("sanitized_values", """select doc_id, case when n_chars > 200 then '[omitted:length:' || length(text) || ':sha256:' || substr(sha256(text), 1, 16) || ']' else text end as shown
-  from (select *, length(text) as n_chars from (select doc_id, 'plain ' || repeat('ab ', cast(doc_id % 90 as integer)) as text from documents))""")
+@query("sanitized_values", f"""select doc_id, case when regexp_matches(text, '{quoted(SECRETS)}') or regexp_matches(text, '{quoted(PERSONAL)}')
+      or lower(regexp_extract(text, '^[A-Za-z][A-Za-z0-9+.-]*:')) not in ('', 'http:', 'https:') then '[redacted:sha256:' || substr(sha256(text), 1, 16) || ']'
+    when length(text) > 1500 then '[omitted:length:' || length(text) || ':sha256:' || substr(sha256(text), 1, 16) || ']' else text end as shown from documents""")
 def sanitized_values(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("plain "), F.repeat(F.lit("ab "), (F.col("doc_id") % 90).cast("int"))).alias("t"))
-    return R.sanitize_value(d, "t", "shown", 200).select("doc_id", "shown")
+    return R.sanitize_value(table(spark, sf, "documents").select("doc_id", "text"), "text", "shown", 1500).select("doc_id", "shown")
 
 
 @query("portal_defects", """with o as (select o_custkey as g, bool_or(o_orderpriority = '1-URGENT') as kr, bool_or(o_orderpriority = '2-HIGH') as dt, bool_or(o_orderpriority = '3-MEDIUM') as th, bool_or(o_totalprice > 400000) as kw,
@@ -109,24 +110,23 @@ def ontology(spark, sf):
 
 def class_tree(spark, sf):
     """Five classes: c1 below c0, c3 below c2, c2 below c0."""
-    rows = table(spark, sf, "region").where(F.col("r_regionkey").isin(1, 2, 3))
-    up = F.when(F.col("r_regionkey") == 3, NS + "c2").otherwise(NS + "c0")
-    return statements(rows, F.concat(F.lit(NS + "c"), text("r_regionkey")), [(R.RDFS + "subClassOf", up, "iri", None, None)])
+    up = F.when(F.col("r_regionkey") == 3, NS + "c2").when(F.col("r_regionkey").isin(1, 2), NS + "c0")
+    return statements(table(spark, sf, "region"), F.concat(F.lit(NS + "c"), text("r_regionkey")), [(R.RDFS + "subClassOf", up, "iri", None, None)])
 
 
 def instance_data(spark, sf):
     """Line items as statements with local predicates over typed customers."""
-    l = table(spark, sf, "lineitem").where(F.col("l_quantity") > 45)
+    l = table(spark, sf, "lineitem")
     c = lambda n: F.concat(F.lit(EX + "i"), (F.col("l_suppkey") * 7 % n).cast("string"))
     data = l.select(F.lit("main").alias("graph"), c(50).alias("s"), F.lit("iri").alias("s_kind"), F.concat(F.lit(NS + "t"), text("l_partkey")).alias("p"),
                     F.when(F.col("l_linenumber") % 2 == 0, c(40)).otherwise(text("l_orderkey")).alias("o"), F.when(F.col("l_linenumber") % 2 == 0, "iri").otherwise("literal").alias("o_kind"),
                     F.when(F.col("l_linenumber") % 2 == 1, F.when(F.col("l_linenumber") == 1, XSD + "integer").otherwise(XSD + "string")).alias("datatype"), F.lit(None).cast("string").alias("lang")).distinct()
-    types = statements(table(spark, sf, "customer").where(F.col("c_custkey") < 50), iri("i", "c_custkey"), [(RDF_TYPE, F.concat(F.lit(NS + "c"), (F.col("c_custkey") % 5).cast("string")), "iri", None, None)])
+    types = statements(table(spark, sf, "customer"), iri("i", "c_custkey"), [(RDF_TYPE, F.concat(F.lit(NS + "c"), (F.col("c_custkey") % 5).cast("string")), "iri", None, None)])
     return data.unionByName(types)
 
 
 @query("domain_range", """with d as (select distinct l_suppkey * 7 % 50 as s, l_partkey as k, case when l_linenumber % 2 = 0 then 'urn:x:i' || (l_suppkey * 7 % 40) else cast(l_orderkey as varchar) end as o, l_linenumber % 2 = 1 as lit,
-      case when l_linenumber = 1 then 'integer' when l_linenumber % 2 = 1 then 'string' end as dt, case when l_linenumber % 2 = 0 then l_suppkey * 7 % 40 end as ot from lineitem where l_quantity > 45),
+      case when l_linenumber = 1 then 'integer' when l_linenumber % 2 = 1 then 'string' end as dt, case when l_linenumber % 2 = 0 then l_suppkey * 7 % 40 end as ot from lineitem),
   inst as (select * from (values (0, 0), (1, 1), (1, 0), (2, 2), (2, 0), (3, 3), (3, 2), (3, 0), (4, 4)) t(cls, sup)), u as (select *, k % 17 <> 5 as decl, k % 3 as kind from d),
   f as (select 'UNDECLARED_LOCAL_PROPERTY' as code, k, s, o from u where not decl
     union all select 'PROPERTY_DOMAIN_MISSING', k, s, o from u where decl and kind < 2 and k % 7 = 2
@@ -181,8 +181,8 @@ def same_and_different(spark, sf):
     return R.same_and_different(q).select(F.col("left").alias("left_node"), F.col("right").alias("right_node"))
 
 
-@query("deprecated_use", """with d as (select distinct l_suppkey * 7 % 50 as s, l_partkey as k from lineitem where l_quantity > 45) select 'DEPRECATED_PROPERTY' as code, count(distinct (s, k)) as findings from d where k % 13 = 1
-  union all select 'DEPRECATED_CLASS', count(*) from customer where c_custkey < 50 and c_custkey % 5 = 3""")
+@query("deprecated_use", """with d as (select distinct l_suppkey * 7 % 50 as s, l_partkey as k from lineitem) select 'DEPRECATED_PROPERTY' as code, count(distinct (s, k)) as findings from d where k % 13 = 1
+  union all select 'DEPRECATED_CLASS', count(*) from customer where c_custkey % 5 = 3""")
 def deprecated_use(spark, sf):
     old = ontology(spark, sf).where((F.col("p") == R.OWL + "deprecated") & (F.col("o") == "true")).select(F.col("s").alias("term"))
     third = table(spark, sf, "region").where(F.col("r_regionkey") == 3).select(F.concat(F.lit(NS + "c"), text("r_regionkey")).alias("term"))
@@ -237,14 +237,14 @@ def crosswalk_findings(spark, sf):
     return R.verify_crosswalk(rows, reqs, cust.select(F.col("id").alias("case_id"), F.col("id").alias("evidence_id")))
 
 
-@query("node_link_findings", """with n as (select p_partkey as k from part) , l as (select distinct l_orderkey as o, l_linenumber as n, l_partkey as f, l_suppkey as t from lineitem where l_quantity > 47)
+@query("node_link_findings", """with n as (select p_partkey as k from part) , l as (select distinct l_orderkey as o, l_linenumber as n, l_partkey as f, l_suppkey as t from lineitem)
   select lpad(cast(k as varchar), 10, '0') || case when k % 50 = 3 then 'x' else '' end as element, 'NODE_INVALID' as code from n where k % 50 = 3
   union all select lpad(cast(o * 10 + n as varchar), 10, '0'), 'LINK_INVALID' from l where t % 9 = 4 union all select distinct lpad(cast(o * 10 + n as varchar), 10, '0'), 'ENDPOINT_MISSING' from l where f % 50 = 3 or t % 50 = 3""")
 def node_link_findings(spark, sf):
     pad = lambda c: F.lpad(c.cast("string"), 10, "0")
     k = F.col("p_partkey")
     nodes = table(spark, sf, "part").select(F.concat(pad(k), F.when(k % 50 == 3, "x").otherwise("")).alias("node_id"), F.lit("NODE0001").alias("hist_type"))
-    l = table(spark, sf, "lineitem").where(F.col("l_quantity") > 47).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
     links = l.select(pad(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("link_id"), pad(F.col("l_partkey")).alias("f_node"), pad(F.col("l_suppkey")).alias("t_node"),
                      F.when(F.col("l_suppkey") % 9 == 4, "ROAD1").otherwise("LINK0001").alias("hist_type"), F.lit("0000000001").alias("hist_remark"))
     return R.node_link_findings(nodes, links)
@@ -299,10 +299,10 @@ def blocked_links(spark, sf):
     return net.blocked_iri_reason(links(spark, sf), "iri").select("page_id", "blocked_reason")
 
 
-@query("unstable_urls", """select page_id, case when not starts_with(url, 'https:') then 'non-https-public-url' when regexp_matches(url, '[?#].') then 'query-or-fragment'
-  when regexp_extract(url, '^https://([^/?#:]*)', 1) not like '%.example.org' then 'unapproved-public-host' end as reason from pages where regexp_matches(url, '^https?://[a-z0-9.]+(/|$)')""")
+@query("unstable_urls", """select page_id, case when not regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:\\S+$') then 'invalid-public-url' when not starts_with(url, 'https:') then 'non-https-public-url' when regexp_matches(url, '[?#].') then 'query-or-fragment'
+  when regexp_extract(url, '^https://([^/?#:]*)', 1) not like '%.example.org' then 'unapproved-public-host' end as reason from pages""")
 def unstable_urls(spark, sf):
-    pages = table(spark, sf, "pages").where(F.col("url").rlike("^https?://[a-z0-9.]+(/|$)"))
+    pages = table(spark, sf, "pages")
     own = F.when(net.host_of(F.col("url")).endswith(".example.org"), F.regexp_replace("url", r"^(https?://)[^/?#]*", "$1data.example.org")).otherwise(F.col("url"))
     return pages.select("page_id", net.unstable_url_reason(F.lit(net.STABLE_PREDICATES[0]), own, ["data.example.org"]).alias("reason"))
 

@@ -161,7 +161,7 @@ def verify_chain(spark, sf):
   select sequence, (select count(*) from r) as total, (select count(*) from r) > 25 as truncated from r order by sequence desc limit 25""")
 def audit_page(spark, sf):
     log = table(spark, sf, "events").select(F.concat(F.lit("tenant-"), F.col("user_id").cast("string")).alias("tenant_id"), F.col("event_id").alias("sequence"))
-    limit = log.agg(F.max("sequence")).first()[0] * 0.8
+    limit = log.agg(0.8 * F.max("sequence")).scalar()
     return C.audit_page(log, "tenant-17", limit, 25).select("sequence", "total", "truncated")
 
 

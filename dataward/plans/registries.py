@@ -274,10 +274,10 @@ def resolve_bindings(spark, sf):
     return R.resolve_bindings(requests, bindings).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "binding_id", "error")
 
 
-@query("orphans", """select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 450000)""")
+@query("orphans", """select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)""")
 def orphans(spark, sf):
-    registered = table(spark, sf, "orders").where(F.col("o_totalprice") > 450000).select(F.col("o_custkey").alias("c_custkey"))
-    return R.orphans(table(spark, sf, "customer").select("c_custkey"), registered, ["c_custkey"])
+    registered = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return R.orphans(table(spark, sf, "orders").select("o_orderkey"), registered, ["o_orderkey"])
 
 
 def principals(spark: SparkSession, sf: str) -> DataFrame:
@@ -345,16 +345,16 @@ def release_eligibility(spark, sf):
             .withColumn("eligible", F.col("open_blockers") == 0))
 
 
-@query("gate_readiness", """with r as (select o_orderkey, unnest([o_custkey, o_custkey + 5]) as b, o_orderpriority as pr, o_orderdate as tm, o_totalprice as p from orders where o_orderstatus <> 'P'),
+@query("gate_readiness", """with r as (select o_orderkey, unnest([o_custkey, o_custkey + 5]) as b, o_orderpriority as pr, o_orderdate as tm, o_totalprice as p from orders),
   u as (select *, count(*) over (partition by b) as uses from r)
-  select o_orderkey, b as blocker_no, case when b % 4 = 0 or b >= (select count(*) from customer) then 'UNKNOWN_BLOCKER' when uses > 1 then 'DUPLICATE_BLOCKER' when pr = '1-URGENT' then 'EVIDENCE_MISSING'
+  select o_orderkey, b as blocker_no, case when b >= (select count(*) from customer) then 'UNKNOWN_BLOCKER' when uses > 1 then 'DUPLICATE_BLOCKER' when pr = '1-URGENT' then 'EVIDENCE_MISSING'
     when p > 400000 then 'EVIDENCE_DIGEST_MISMATCH' when tm > timestamp '2000-01-01' then 'EVIDENCE_FROM_FUTURE'
     when tm < timestamp '2000-01-01' - to_days(900) then 'EVIDENCE_STALE' end as problem from u""")
 def gate_readiness(spark, sf):
-    gates = table(spark, sf, "orders").where(F.col("o_orderstatus") != "P").select(
+    gates = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("gate_id"), F.array("o_custkey", F.col("o_custkey") + 5).alias("blocker_ids"),
         F.when(F.col("o_orderpriority") != "1-URGENT", F.when(F.col("o_totalprice") > 400000, "x").otherwise("y")).alias("evidence_sha256"),
         F.lit("y").alias("expected_sha256"), F.col("o_orderdate").alias("evidence_at"))
-    expected = table(spark, sf, "customer").where(F.col("c_custkey") % 4 != 0).select(F.col("c_custkey").alias("blocker_id"))
+    expected = table(spark, sf, "customer").select(F.col("c_custkey").alias("blocker_id"))
     return R.readiness(gates, expected, "2000-01-01 00:00:00", 900).select(
         F.col("gate_id").alias("o_orderkey"), F.col("blocker_id").alias("blocker_no"), "problem")

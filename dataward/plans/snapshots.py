@@ -32,16 +32,16 @@ def semantic_diff(spark, sf):
     return D.semantic_diff(before, after, ["term_id"], ["label", "owner", "value", "status"], "status")
 
 
-@query("compare_inventory", """with a as (select l_partkey as k, count(*) as n from lineitem where l_quantity > 45 group by 1),
-  b as (select p_partkey as k, count(*) as n from part join range(2) r(i) on i = 0 or p_partkey % 31 = 0 where p_size > 5 group by 1),
+@query("compare_inventory", """with a as (select case when l_quantity > 45 then '' else 'old-' end || l_partkey as k, count(*) as n from lineitem group by 1),
+  b as (select case when p_size > 5 then '' else 'new-' end || p_partkey as k, count(*) as n from part join range(2) r(i) on i = 0 or p_partkey % 31 = 0 group by 1),
   j as (select coalesce(a.k, b.k) as k, a.n as an, b.n as bn from a full join b using (k)),
   f as (select k, unnest([case when bn is null then 'missing' end, case when an is null then 'extra' end, case when an > 1 then 'duplicate-found' end, case when bn > 1 then 'duplicate-mapped' end]) as issue from j)
   select k as part_key, issue from f where issue is not null""")
 def compare_inventory(spark, sf):
-    found = table(spark, sf, "lineitem").where(F.col("l_quantity") > 45).select(F.col("l_partkey").alias("part_key"))
-    part = table(spark, sf, "part").where(F.col("p_size") > 5)
+    filed = lambda usual, other, c: F.concat(F.when(usual, "").otherwise(other), text(c))
+    found = table(spark, sf, "lineitem").select(filed(F.col("l_quantity") > 45, "old-", "l_partkey").alias("part_key"))
     copies = F.when(F.col("p_partkey") % 31 == 0, 2).otherwise(1)
-    mapped = part.select(F.explode(F.array_repeat("p_partkey", copies)).alias("part_key"))
+    mapped = table(spark, sf, "part").select(F.explode(F.array_repeat(filed(F.col("p_size") > 5, "new-", "p_partkey"), copies)).alias("part_key"))
     return D.compare_inventory(found, mapped, ["part_key"])
 
 
@@ -119,32 +119,34 @@ def verify_migration(spark, sf):
     return D.verify_migration(expected, actual, ["o_orderkey"], ["o_orderstatus"])
 
 
-@query("flatten_state", """select 'tenant-' || c_nationkey as tenant_id, kind, space_id, member_id, sha256 from (
-  select distinct c_nationkey, 'space' as kind, c_mktsegment as space_id, cast(null as varchar) as member_id, sha256('{"spaceId":"' || c_mktsegment || '","state":"ACTIVE"}') as sha256 from customer
-  union all select c_nationkey, 'participant', c_mktsegment, c_name, sha256('{"participantId":"' || c_name || '","state":"' || case when c_acctbal < 0 then 'SUSPENDED' else 'APPROVED' end || '"}') from customer)""")
+@query("flatten_state", """with c as (select *, c_mktsegment || '-' || (c_custkey // 100) as space_id from customer) select 'tenant-' || c_nationkey as tenant_id, kind, space_id, member_id, sha256 from (
+  select distinct c_nationkey, 'space' as kind, space_id, cast(null as varchar) as member_id, sha256('{"spaceId":"' || space_id || '","state":"ACTIVE"}') as sha256 from c
+  union all select c_nationkey, 'participant', space_id, c_name, sha256('{"participantId":"' || c_name || '","state":"' || case when c_acctbal < 0 then 'SUSPENDED' else 'APPROVED' end || '"}') from c)""")
 def flatten_state(spark, sf):
     member = F.struct(F.col("c_name").alias("participant_id"), F.when(F.col("c_acctbal") < 0, "SUSPENDED").otherwise("APPROVED").alias("state"))
-    spaces = table(spark, sf, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.collect_list(member).alias("p"))
-    entry = F.struct(F.col("c_mktsegment").alias("key"), F.struct(F.lit("ACTIVE").alias("state"), F.col("p").alias("participants")).alias("value"))
+    # A space has at most a hundred members, whatever the number of customers.
+    space = F.concat_ws("-", "c_mktsegment", F.floor(F.col("c_custkey") / 100).cast("string")).alias("space")
+    spaces = table(spark, sf, "customer").groupBy("c_nationkey", space).agg(F.collect_list(member).alias("p"))
+    entry = F.struct(F.col("space").alias("key"), F.struct(F.lit("ACTIVE").alias("state"), F.col("p").alias("participants")).alias("value"))
     state = spaces.select(F.lit("hub").alias("component"), F.concat(F.lit("tenant-"), text("c_nationkey")).alias("tenant_id"),
                           F.map_from_entries(F.array(entry)).alias("spaces"))
     return D.flatten_state(state).drop("component")
 
 
-@query("decision_matrix", """with r as (select l_partkey, count(distinct l_suppkey % 3) as answered, count(distinct case when l_tax > 0.07 then 'reject' else 'accept' end) as decisions,
-    min(case when l_tax > 0.07 then 'reject' else 'accept' end) as d from lineitem where l_quantity > 47 group by 1)
-  select p_partkey as case_id, case when coalesce(answered, 0) < 2 then 'incomplete' when decisions > 1 then 'disagree' when d <> case when p_size > 40 then 'reject' else 'accept' end then 'unexpected' else 'agreed' end as verdict
-  from part left join r on l_partkey = p_partkey""")
+@query("decision_matrix", """with r as (select l_orderkey, count(distinct l_linenumber % 3) as answered, count(distinct case when l_tax > 0.07 then 'reject' else 'accept' end) as decisions,
+    min(case when l_tax > 0.07 then 'reject' else 'accept' end) as d from lineitem group by 1)
+  select o_orderkey as case_id, case when coalesce(answered, 0) < 2 then 'incomplete' when decisions > 1 then 'disagree' when d <> case when o_totalprice > 400000 then 'reject' else 'accept' end then 'unexpected' else 'agreed' end as verdict
+  from orders left join r on l_orderkey = o_orderkey""")
 def decision_matrix(spark, sf):
-    cases = table(spark, sf, "part").select(F.col("p_partkey").alias("case_id"), F.when(F.col("p_size") > 40, "reject").otherwise("accept").alias("expected"))
-    results = table(spark, sf, "lineitem").where(F.col("l_quantity") > 47).select(
-        F.col("l_partkey").alias("case_id"), (F.col("l_suppkey") % 3).alias("engine"), F.when(F.col("l_tax") > 0.07, "reject").otherwise("accept").alias("decision"))
+    cases = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_totalprice") > 400000, "reject").otherwise("accept").alias("expected"))
+    results = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("case_id"), (F.col("l_linenumber") % 3).alias("engine"), F.when(F.col("l_tax") > 0.07, "reject").otherwise("accept").alias("decision"))
     return D.decision_matrix(cases, results, 2).select("case_id", "verdict")
 
 
 @query("cutover_receipt", """with m as (select s_suppkey as c, sha256(cast(s_suppkey as varchar)) as r, s_acctbal > 200 as auth from supplier),
   h as (select s_suppkey as c, case when s_suppkey % 17 = 4 then 'x' else sha256(cast(s_suppkey as varchar)) end as r from supplier),
-  g as (select distinct l_suppkey as c from lineitem where l_quantity > 49),
+  g as (select l_suppkey as c from lineitem group by 1 having max(l_shipdate) >= timestamp '1996-01-01'),
   j as (select m.auth and h.r = m.r and g.c is not null as ok from m left join h using (c) left join g using (c))
   select count(*) as components, count(*) filter (where ok) as consistent, bool_and(ok) as cutover_valid from j""")
 def cutover_receipt(spark, sf):
@@ -152,7 +154,8 @@ def cutover_receipt(spark, sf):
     root = F.sha2(text("s_suppkey"), 256)
     modes = s.select(F.col("s_suppkey").alias("component"), F.when(F.col("s_acctbal") > 200, "scoped-authoritative").otherwise("legacy").alias("mode"), root.alias("state_root"))
     heads = s.select(F.col("s_suppkey").alias("component"), F.when(F.col("s_suppkey") % 17 == 4, "x").otherwise(root).alias("state_root"))
-    done = table(spark, sf, "lineitem").where(F.col("l_quantity") > 49).select(F.col("l_suppkey").alias("component"), F.lit(4).alias("version")).distinct()
+    done = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("component")).agg(F.max("l_shipdate").alias("last")).where(
+        F.col("last") >= F.lit("1996-01-01").cast("timestamp_ntz")).select("component", F.lit(4).alias("version"))
     return D.cutover_receipt(modes, heads, done)
 
 

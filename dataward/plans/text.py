@@ -113,15 +113,16 @@ def blocked_claims(spark, sf):
     return T.blocked_claims(table(spark, sf, "documents"), ["and the", "As Is", "the-best", "le la"])
 
 
-_SECRETS = r"-----BEGIN [A-Z ]*PRIVATE KEY-----|(?i:authorization\s*:\s*bearer\s+[A-Za-z0-9._~+/=-]+)|(?:^|[^0-9A-Z])(?:AKIA|ASIA)[0-9A-Z]{16}(?:[^0-9A-Z]|$)|\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})\b|(?i:\b(?:binding|secret|vault)://)|(?i:\bjdbc:[a-z0-9]+:)"
-_PERSONAL = r"\b\d{6}[- ]?[1-8]\d{6}\b|(?:\+82\s*(?:\(\s*0\s*\)\s*)?1[016789]|01[016789])[-. ]?\d{3,4}[-. ]?\d{4}\b|(?:\+82[-. ]*(?:\(\s*0\s*\)[-. ]*)?(?:2|[3-6][1-5]|70))[-. ]?\d{3,4}[-. ]?\d{4}\b|\b0(?:2|[3-6][1-5]|70)[-. ]?\d{3,4}[-. ]?\d{4}\b|\b0\d{1,2}[-. ]\d{3,4}[-. ]\d{4}\b|(?i:[^\s<>@]+@[A-Z0-9](?:[A-Z0-9-]*[A-Z0-9])?(?:[.][A-Z0-9](?:[A-Z0-9-]*[A-Z0-9])?)+\b)"
+#: The patterns of functions/sensitive.py for a dialect without look-behind.
+SECRETS = r"-----BEGIN [A-Z ]*PRIVATE KEY-----|(?i:authorization\s*:\s*bearer\s+[A-Za-z0-9._~+/=-]+)|(?:^|[^0-9A-Z])(?:AKIA|ASIA)[0-9A-Z]{16}(?:[^0-9A-Z]|$)|\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})\b|(?i:\b(?:binding|secret|vault)://)|(?i:\bjdbc:[a-z0-9]+:)"
+PERSONAL = r"\b\d{6}[- ]?[1-8]\d{6}\b|(?:\+82\s*(?:\(\s*0\s*\)\s*)?1[016789]|01[016789])[-. ]?\d{3,4}[-. ]?\d{4}\b|(?:\+82[-. ]*(?:\(\s*0\s*\)[-. ]*)?(?:2|[3-6][1-5]|70))[-. ]?\d{3,4}[-. ]?\d{4}\b|\b0(?:2|[3-6][1-5]|70)[-. ]?\d{3,4}[-. ]?\d{4}\b|\b0\d{1,2}[-. ]\d{3,4}[-. ]\d{4}\b|(?i:[^\s<>@]+@[A-Z0-9](?:[A-Z0-9-]*[A-Z0-9])?(?:[.][A-Z0-9](?:[A-Z0-9-]*[A-Z0-9])?)+\b)"
 
 
-def _sql_text(p):
+def quoted(p):
     return p.replace("'", "''")
 
 
-@query("sensitive_documents", f"""select doc_id, regexp_matches(text, '{_sql_text(_SECRETS)}') as has_secret, regexp_matches(text, '{_sql_text(_PERSONAL)}') as has_personal from documents""")
+@query("sensitive_documents", f"""select doc_id, regexp_matches(text, '{quoted(SECRETS)}') as has_secret, regexp_matches(text, '{quoted(PERSONAL)}') as has_personal from documents""")
 def sensitive_documents(spark, sf):
     return X.sensitive_kinds(table(spark, sf, "documents"), "text").select("doc_id", "has_secret", "has_personal")
 
