@@ -1,13 +1,13 @@
 """Repeated passages by a sparse suffix array.
 
-Suffixes are kept at content-selected minimiser places only. They are ordered by their first words and by
-what follows or precedes these; neighbours are compared, and a match is extended left and right. A passage
-counts if at least ``min_words`` words are the same in two documents. Words lie between blanks, A-Z
-lower-cased.
+Suffixes are kept at content-selected minimiser places only; those that share their first words with another
+document are candidates. Runs of ``min_words`` words around candidates are compared whole and joined to
+passages, so that a passage counts exactly if at least ``min_words`` words are the same in two documents.
+Words lie between blanks, A-Z lower-cased.
 
 Defined cases: null and empty texts and rows without an id have no passages; repeated rows count as one
-document, rows of one id with other texts come back each, compared with other ids alone; a passage that one document repeats is judged by its first place there; no repeats give
-an empty result.
+document, rows of one id with other texts come back each, compared with other ids alone; a passage that one
+document repeats is judged at each of its places; no repeats give an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataward.llm import arrays
@@ -31,7 +31,6 @@ class Repeats:
 
     min_words: int = 50
     width: int = 16
-    block: int = 256
 
     @property
     def core(self) -> int:
@@ -44,91 +43,57 @@ class Repeats:
 
 
 def _suffixes(spec: Repeats):
-    """A map over (doc_id, text): the key of each kept suffix, once per text."""
+    """A map over (doc_id, text): the key of each kept suffix, and the words around its core.
+
+    ``around`` is a hash of up to ``reach`` words before and after the core, which lie in words start to end.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = np.arange(spec.reach)
+        weight = np.random.default_rng(9).integers(1, 1 << 63, 2 * spec.reach, dtype=np.uint64) | np.uint64(1)
         for batch in batches:
             for low, _high, data, bounds in arrays.text_slices(batch.column(1)):
                 words = arrays.Words(arrays.lower(data), bounds, arrays.BLANK_WORDS)
-                at, key = anchors(words.codes(), words.row, spec.core, spec.width)
+                codes = words.codes()
+                at, key = anchors(codes, words.row, spec.core, spec.width)
+                enough = words.counts[words.row[at]] >= spec.min_words
+                at, key = at[enough], key[enough]
                 row = words.row[at]
-                order = np.lexsort((at, key, row))
-                fresh = np.ones(len(order), dtype=bool)
-                fresh[1:] = (key[order][1:] != key[order][:-1]) | (row[order][1:] != row[order][:-1])
-                keep = np.sort(order[fresh])
+                near = np.concatenate([at[:, None] - 1 - step, at[:, None] + spec.core + step], axis=1)
+                there = (near >= words.first[row][:, None]) & (near < words.first[row + 1][:, None])
+                around = (np.where(there, codes[np.where(there, near, at[:, None])], np.uint64(0)) * weight).sum(axis=1, dtype=np.uint64)
+                place = at - words.first[row]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(low + row[keep])), arrays.signed(key[keep]),
-                    pa.array((at[keep] - words.first[row[keep]]).astype(np.int32))], ["doc_id", "key", "at"])
+                    batch.column(0).take(pa.array(low + row)), arrays.signed(key), arrays.signed(arrays.mix(around)), pa.array(place.astype(np.int32)),
+                    pa.array((place - there[:, :spec.reach].sum(axis=1)).astype(np.int32)),
+                    pa.array((place + spec.core + there[:, spec.reach:].sum(axis=1)).astype(np.int32))],
+                    ["doc_id", "key", "around", "at", "start", "end"])
 
     return run
 
 
-def _contexts(spec: Repeats):
-    """A map over (doc_id, text, places: array of (at, key, n)): what precedes and follows each core.
-
-    Words around a core are held as four bytes of their hash, nearest first, and zeros beyond the text.
-    """
+def _runs(spec: Repeats):
+    """A map over (doc_id, text, places): the hash of each run of ``min_words`` words that holds a core at a place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = spec.reach
         for batch in batches:
             for low, high, data, bounds in arrays.text_slices(batch.column(1)):
                 words = arrays.Words(arrays.lower(data), bounds, arrays.BLANK_WORDS)
-                codes = ((words.codes() >> np.uint64(33)) + np.uint64(1)).astype(">u4")
+                begin, hashes = arrays.windows(words.codes(), words.row, spec.min_words)
                 places = batch.column(2).slice(low, high - low)
                 counts = pa.compute.list_value_length(places).to_numpy()
-                flat = places.flatten()
                 row = np.repeat(np.arange(high - low), counts)
-                at = flat.field("at").to_numpy() + words.first[row]
-                step = np.arange(reach)
-                before = at[:, None] - 1 - step
-                after = at[:, None] + spec.core + step
-                padded = np.append(codes, codes.dtype.type(0))
-                left = np.where(before >= words.first[row][:, None], padded[np.clip(before, -1, len(codes))], 0).astype(">u4")
-                right = np.where(after < words.first[row + 1][:, None], padded[np.clip(after, 0, len(codes))], 0).astype(">u4")
-                fixed = pa.binary(reach * 4)
+                at = places.flatten().to_numpy() + words.first[row]
+                wanted = np.zeros(len(words.start) + 1, dtype=bool)
+                for back in range(spec.width):
+                    inside = at - back >= words.first[row]
+                    wanted[(at - back)[inside]] = True
+                keep = wanted[begin]
+                begin, hashes = begin[keep], hashes[keep]
+                row = words.row[begin]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(low + row)), flat.field("key"), flat.field("n"), flat.field("at"),
-                    pa.FixedSizeBinaryArray.from_buffers(fixed, len(row), [None, pa.py_buffer(left.tobytes())]).cast(pa.binary()),
-                    pa.FixedSizeBinaryArray.from_buffers(fixed, len(row), [None, pa.py_buffer(right.tobytes())]).cast(pa.binary())],
-                    ["doc_id", "key", "n", "at", "left", "right"])
-
-    return run
-
-
-def _extended(spec: Repeats):
-    """A map over a suffix with its neighbours: the longest match of ``min_words`` words or more."""
-
-    def common(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        same = (one == two) & (one != 0)
-        return np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1))
-
-    def words(column: pa.Array) -> np.ndarray:
-        empty = bytes(spec.reach * 4)
-        return np.frombuffer(b"".join(x or empty for x in column.to_pylist()), ">u4").reshape(-1, spec.reach)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = words(batch.column(2)), words(batch.column(3))
-            n = batch.num_rows
-            best, reach_l, reach_r, mate = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            for c in range(4, batch.num_columns):
-                other = batch.column(c)
-                there = other.is_valid().to_numpy(zero_copy_only=False)
-                x = common(left, words(other.field("left")))
-                y = common(right, words(other.field("right")))
-                total = np.where(there, x + y + spec.core, 0)
-                better = total > best
-                for target, value in ((best, total), (reach_l, x), (reach_r, y), (mate, np.arange(n) * 0 + c)):
-                    target[better] = value[better]
-            found = best >= spec.min_words
-            ids = [batch.column(int(mate[i])).field("doc_id")[i].as_py() for i in np.flatnonzero(found)]
-            at = batch.column(1).to_numpy().astype(np.int64)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).filter(pa.array(found)), pa.array(ids, batch.column(0).type.field(0).type),
-                pa.array((at - reach_l)[found]), pa.array((at + spec.core + reach_r)[found])], ["doc_id", "partner", "start", "end"])
+                    batch.column(0).take(pa.array(low + row)), arrays.signed(hashes), pa.array((begin - words.first[row]).astype(np.int32))],
+                    ["doc_id", "run", "start"])
 
     return run
 
@@ -169,18 +134,21 @@ def merged(spans):
 def repeated_passages(docs: DataFrame, spec: Repeats = Repeats()) -> DataFrame:
     """doc_id, n_words, spans (code points), partners for each document that shares a passage with another.
 
-    Keys that one document alone has end with a combinable count. Suffixes of a key met more often than
-    ``block`` times are compared in blocks of about that size, ordered twice: by what follows and by what
-    precedes. All of them share the core, so each block shows every one of its suffixes a match.
+    Keys that one document alone has end with combinable extremes. Where all places of a key have the same
+    words around them, these are shared as they stand. At other places every run of ``min_words`` words that
+    holds the core is grouped by its own hash, so that nothing depends on which suffixes are neighbours or on
+    how many hold a key. A partner is the least other document with the run (the greatest for the least itself).
     """
     docs = extra_columns_dropped(docs, "doc_id", "text").where(F.col("doc_id").isNotNull())
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text")).alias("doc_id"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    suffixes = docs.mapInArrow(_suffixes(spec), f"doc_id {kind}, key long, at int")
-    shared = written(suffixes.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("doc_id.doc_id").alias("a"), F.max("doc_id.doc_id").alias("b")).where(F.col("a") != F.col("b")).select("key", "n"))
-    places = written(suffixes.join(shared, "key").groupBy("doc_id").agg(F.collect_set(F.struct("at", "key", "n")).alias("places")))
+    suffixes = docs.mapInArrow(_suffixes(spec), f"doc_id {kind}, key long, around long, at int, start int, end int")
+    ends = (F.min("doc_id.doc_id").alias("a"), F.max("doc_id.doc_id").alias("b"))
+    shared = written(suffixes.groupBy("key").agg(*ends, (F.min("around") == F.max("around")).alias("alike")).where(F.col("a") != F.col("b")))
+    partner = F.when(F.col("doc_id.doc_id") != F.col("a"), F.col("a")).otherwise(F.col("b")).alias("partner")
+    met = written(suffixes.join(shared, "key").select("doc_id", "at", "start", "end", "alike", partner))
+    places = written(met.where(~F.col("alike")).groupBy("doc_id").agg(F.collect_set("at").alias("places")))
 
     def with_text(part: DataFrame) -> DataFrame:
         """Rows of ``part`` with their text, once. Join and de-duplication share plain keys, so texts move once."""
@@ -189,21 +157,12 @@ def repeated_passages(docs: DataFrame, spec: Repeats = Repeats()) -> DataFrame:
         both = docs.select(*keys, "text").join(part.select(*keys, *rest), ["id", "hash"]).dropDuplicates(["id", "hash"])
         return both.select(F.struct(F.col("id").alias("doc_id"), F.col("hash").alias("text")).alias("doc_id"), "text", *rest)
 
-    found = with_text(places).select("doc_id", "text", "places").mapInArrow(
-        _contexts(spec), f"doc_id {kind}, key long, n long, at int, left binary, right binary")
-    found = found.withColumn("block", F.when(F.col("n") <= spec.block, F.lit(0)).otherwise(
-        F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / spec.block))))
-    mate = F.struct(F.col("doc_id.doc_id").alias("doc_id"), "left", "right")
-
-    def other(m):
-        return F.when(m["doc_id"] != F.col("doc_id.doc_id"), m)
-
-    by_right = Window.partitionBy("key", "block").orderBy("right", "left", "doc_id", "at")
-    by_left = Window.partitionBy("key", "block").orderBy("left", "right", "doc_id", "at")
-    near = found.select("doc_id", "at", "left", "right", other(F.lag(mate).over(by_right)).alias("m1"), other(F.lead(mate).over(by_right)).alias("m2"),
-                        other(F.lag(mate).over(by_left)).alias("m3"), other(F.lead(mate).over(by_left)).alias("m4"))
-    matches = near.mapInArrow(_extended(spec), f"doc_id {kind}, partner {id_kind}, start long, end long")
+    runs = written(with_text(places).select("doc_id", "text", "places").mapInArrow(_runs(spec), f"doc_id {kind}, run long, start int"))
+    # Written, so that the join deals its own rows and Spark can split a run that very many documents hold.
+    common = written(runs.groupBy("run").agg(*ends).where(F.col("a") != F.col("b")))
+    matches = met.where("alike").select("doc_id", "partner", "start", "end").unionByName(
+        runs.join(common, "run").select("doc_id", partner, "start", (F.col("start") + spec.min_words).alias("end")))
     regions = written(matches.groupBy("doc_id").agg(
-        merged(F.collect_list(F.struct("start", "end"))).alias("spans"), F.array_sort(F.collect_set("partner")).alias("partners")))
+        merged(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))).alias("spans"), F.array_sort(F.collect_set("partner")).alias("partners")))
     return with_text(regions).select("doc_id", "text", "spans", "partners").mapInArrow(
         _char_spans, f"doc_id {kind}, n_words long, spans array<struct<start:bigint,end:bigint>>, partners array<{id_kind}>").withColumn("doc_id", F.col("doc_id.doc_id"))

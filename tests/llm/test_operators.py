@@ -361,3 +361,28 @@ def test_pipeline_stages(spark, documents):
     assert private.columns == df.columns and private.count() == clean.count()
     assert not any(base_spans(r["text"]) for r in private.collect())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicate", "decontamination", "personal", "packing"]
+
+
+def test_passages_around_a_frequent_notice_equal_brute_force(spark):
+    """Words of at least 50 equal ones in two documents, where hundreds of documents hold a notice of 40 words."""
+    rnd = random.Random(12)
+    before, notice, after = ([words(20, s).split() for s in (900, 901, 902)], words(40, 903).split(), [words(20, s).split() for s in (904, 905, 906)])
+    rows = []
+    for i in range(600):
+        left, right = rnd.choice([0, 0, 4, 8, 10]), rnd.choice([0, 0, 4, 7, 10])
+        one = rnd.choice(before)[20 - left:] + notice + rnd.choice(after)[:right]
+        rows.append((i, " ".join([*words(60, 3000 + i).split(), *one, *words(40, 5000 + i).split()])))
+    # Shared by two documents alone, in front of a notice that all hold.
+    for i in range(40):
+        own = words(6, 7000 + i // 2).split(), words(6, 8000 + i // 2).split()
+        rows.append((1000 + i, " ".join([*words(30, 9000 + i).split(), *own[0], *notice, *own[1], *words(30, 9500 + i).split()])))
+    holders, found = {}, {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 49):
+            holders.setdefault(tuple(w[k:k + 50]), set()).add(i)
+    for i, t in rows:
+        w = t.split()
+        found[i] = len({x for k in range(len(w) - 49) if len(holders[tuple(w[k:k + 50])]) > 1 for x in range(k, k + 50)})
+    got = {r["doc_id"]: r["n_words"] for r in repeated_passages(frame(spark, rows)).collect()}
+    assert got == {i: n for i, n in found.items() if n}
