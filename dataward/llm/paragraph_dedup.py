@@ -1,9 +1,10 @@
 """Near-duplicate passages: paragraphs by MinHash banding, and passages set into longer paragraphs.
 
-A paragraph is a line of at least ``min_words`` words. Its five-word shingles are banded, colliding
-paragraphs are confirmed by exact Jaccard and clustered by components. A passage that stands inside other
+A paragraph is a line of at least ``min_words`` words: five, so that it has a shingle. Its five-word shingles are
+banded, colliding paragraphs are confirmed by exact Jaccard and clustered by components, in one document or several. A passage that stands inside other
 text has no line of its own: runs of ``core`` words that begin at content-chosen places are compared as
-they are (Jaccard 1), and runs that continue each other are joined. Of each class one passage stays.
+they are (Jaccard 1), and runs that continue each other are joined. Of each class the passage of the least
+document hash, there the first, stays.
 
 Defined cases: null and empty texts and rows without an id have no passages; rows of one id with other
 texts come back each; repeated rows count once; no repeats give an empty result.
@@ -39,7 +40,7 @@ class Passages:
     percent: int = 80
     rows: int = 2
     miss: float = 0.0025
-    min_words: int = 40
+    min_words: int = 5
     core: int = 35
     width: int = 16
 
@@ -85,19 +86,21 @@ def _joined(spec: Passages):
     """A map over (doc_id, doc, text, lines, runs): one row for each passage, in code points."""
 
     def passages(doc: int, lines: list[dict], runs: list[dict]) -> list[tuple]:
-        out = [(x["at"], x["at"] + x["words"], x["class"], x["class"] != x["id"]) for x in lines]
+        out = [(x["at"], x["at"] + x["words"], x["class"], x["removed"]) for x in lines]
         whole = [(a, b) for a, b, *_ in out]
-        by_class: dict[int, list[int]] = {}
+        by_class: dict[tuple[int, bool], list[int]] = {}
         for x in runs:
-            by_class.setdefault(x["class"], []).append(x["at"])
-        for name, found in by_class.items():
+            # A run that overlaps the first one of its document belongs to the passage that stays.
+            removed = x["class"] != doc or x["at"] >= x["first"] + spec.core
+            by_class.setdefault((x["class"], removed), []).append(x["at"])
+        for (name, removed), found in by_class.items():
             found.sort()
             begin = 0
             for k in range(1, len(found) + 1):
                 if k == len(found) or found[k] > found[k - 1] + spec.core:
                     a, b = found[begin], found[k - 1] + spec.core
                     if not any(x <= a and b <= y for x, y in whole):
-                        out.append((a, b, name, name != doc))
+                        out.append((a, b, name, removed))
                     begin = k
         return sorted(out)
 
@@ -126,8 +129,8 @@ _OUT = ["doc_id", "start", "end", "n_words", "class_id", "removed"]
 
 
 def repeated_paragraphs(docs: DataFrame, spec: Passages = Passages()) -> DataFrame:
-    """A row for each passage of ``docs`` (doc_id, text) that stands in two documents: doc_id, start and end
-    (code points), n_words, the class of equal or near passages, and whether all but one of it would go.
+    """A row for each passage of ``docs`` (doc_id, text) that stands twice, in one document or several: doc_id,
+    start and end (code points), n_words, the class of equal or near passages, and whether all but one of it would go.
 
     Documents and paragraphs go by 64-bit hashes of their id, text and place.
     """
@@ -140,11 +143,15 @@ def repeated_paragraphs(docs: DataFrame, spec: Passages = Passages()) -> DataFra
     where = units.drop("text")
     classes = near_duplicates(units.select(F.col("id").alias("doc_id"), "text"), tuned(spec.percent, spec.rows, spec.miss))
     classes = written(where.join(classes.select(F.col("doc_id").alias("id"), F.col("component_id").alias("class")).distinct(), "id"))
-    shared = classes.groupBy("class").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a != b").select("class")
-    lines = classes.join(shared, "class").groupBy("doc").agg(F.collect_set(F.struct("at", "words", "class", "id")).alias("lines"))
+    place = F.struct("doc", "at")
+    shared = written(classes.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("class", "first"))
+    lines = classes.join(shared, "class").groupBy("doc").agg(
+        F.collect_set(F.struct("at", "words", "class", (place != F.col("first")).alias("removed"))).alias("lines"))
     runs = docs.select("doc", "text").mapInArrow(_runs(spec), "doc long, key long, at int")
-    met = written(runs.groupBy("key").agg(F.min("doc").alias("class"), F.max("doc").alias("b")).where(F.col("class") != F.col("b")).select("key", "class"))
-    runs = runs.join(met, "key").groupBy("doc").agg(F.collect_set(F.struct("at", "class")).alias("runs"))
+    met = runs.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(
+        (F.col("first.doc") != F.col("last.doc")) | (F.col("last.at") >= F.col("first.at") + spec.core))
+    met = written(met.select("key", F.col("first.doc").alias("class"), F.col("first.at").alias("first")))
+    runs = runs.join(met, "key").groupBy("doc").agg(F.collect_set(F.struct("at", "class", "first")).alias("runs"))
     found = written(lines.join(runs, "doc", "full"))
     texts = docs.join(found.select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
     return texts.join(found, "doc").select("doc_id", "doc", "text", "lines", "runs").mapInArrow(

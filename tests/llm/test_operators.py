@@ -386,3 +386,21 @@ def test_passages_around_a_frequent_notice_equal_brute_force(spark):
         found[i] = len({x for k in range(len(w) - 49) if len(holders[tuple(w[k:k + 50])]) > 1 for x in range(k, k + 50)})
     got = {r["doc_id"]: r["n_words"] for r in repeated_passages(frame(spark, rows)).collect()}
     assert got == {i: n for i, n in found.items() if n}
+
+
+def test_short_paragraphs_and_repeats_in_one_document(spark):
+    """Lines from five words on, in two documents or twice in one, and runs repeated inside one document."""
+    short, near, own, run = words(5, 41), words(30, 42).split(), words(12, 43), words(60, 44)
+    changed = near[:-1] + ["changed"]
+    rows = [(1, words(9, 1) + "\n" + short + "\n" + " ".join(near)), (2, short + "\n" + words(8, 2)), (3, " ".join(changed) + "\n" + words(7, 3)),
+            (4, own + "\n" + words(11, 4) + "\n" + own), (5, " ".join([words(40, 5), run, words(40, 6), run, words(40, 7)])), (6, words(90, 8))]
+    text = dict(rows)
+    found = [(r["doc_id"], text[r["doc_id"]][r["start"]:r["end"]], r["removed"], r["start"]) for r in repeated_paragraphs(frame(spark, rows)).collect()]
+    by = {}
+    for i, t, removed, start in found:
+        by.setdefault(i, []).append((t, removed, start))
+    assert set(by) == {1, 2, 3, 4, 5} and len(found) == 8
+    assert {t for t, *_ in by[1]} == {short, " ".join(near)} and {t for t, *_ in by[2]} == {short} and {t for t, *_ in by[3]} == {" ".join(changed)}
+    assert [(t, removed) for t, removed, _ in sorted(by[4], key=lambda x: x[2])] == [(own, False), (own, True)]
+    assert [removed for _, removed, _ in sorted(by[5], key=lambda x: x[2])] == [False, True] and all(t in run for t, *_ in by[5])
+    assert sum(removed for _, _, removed, _ in found) == 4
