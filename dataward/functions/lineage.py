@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
+from dataward.functions.shared_files import shared_folder
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame to the shared checkpoint folder and read on from there.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session without
-    one, as in tests, gets a temporary folder; on a cluster that would not survive an executor.
-    """
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the frame to the shared checkpoint folder and read on from there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="dataward-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from dataward.functions.shared_files import fresh_folder
 from dataward.functions.lexical import identity_valid, rfc3339_valid, xsd_valid
 from dataward.operators import graph as G
 from dataward.plans.graph import XSD, quads
@@ -55,8 +54,7 @@ def stream_hourly_totals(spark, sf):
     """The event table read as a stream and added up by hour, through a checkpointed file sink."""
     from dataward.streaming.usage import stream_rollup
     schema = table(spark, sf, "events").schema
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    folder = tempfile.mkdtemp(prefix="dataward-stream-") if base is None and spark.sparkContext.master.startswith("local") else f"{base}/stream-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+    folder = fresh_folder(spark, "stream")
     ev = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]").select(
         F.col("ts").cast("timestamp").alias("occurred_at"), F.lit("web").alias("component"), F.lit("all").alias("tenant_id"), F.col("event_type").alias("meter_name"),
         F.lit("operational").alias("purpose"), F.lit("{event}").alias("unit"), F.lit("none").alias("dimensions_sha256"), F.col("value").cast("decimal(30,9)").alias("quantity"))
