@@ -320,21 +320,21 @@ def result_multiset(findings: DataFrame, keys: list[str], cols: list[str]) -> Da
 
 # --- requirements ----------------------------------------------------------------------------
 
-def requirement_of(shapes: DataFrame, labels: DataFrame, max_depth: int = 32) -> DataFrame:
+def requirement_of(shapes: DataFrame, labels: DataFrame) -> DataFrame:
     """(graph, node, requirement_id): the requirement of a labelled shape reaches its anonymous parts.
 
-    ``labels``: graph, node, requirement_id. A part with its own label keeps it.
+    ``labels``: graph, node, requirement_id. A part with its own label keeps it. Parts lie at any depth; each is
+    labelled once, so cycles end as well.
     """
     down = cut_lineage(shapes.where(F.col("o_kind") == "bnode").select("graph", F.col("s").alias("node"), F.col("o").alias("_part")).distinct())
     known = cut_lineage(labels.select("graph", "node", "requirement_id").distinct())
     frontier = known
-    for _ in range(max_depth):
+    while True:
         fresh = frontier.join(down, ["graph", "node"]).select("graph", F.col("_part").alias("node"), "requirement_id").distinct()
         frontier = cut_lineage(fresh.join(known.select("graph", "node"), ["graph", "node"], "left_anti"))
         if frontier.isEmpty():
-            break
+            return known
         known = cut_lineage(known.unionByName(frontier))
-    return known
 
 
 def requirement_inventory(props: DataFrame) -> DataFrame:

@@ -16,15 +16,12 @@ from dataward.functions.skew import ordered_root
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDF_TYPE = RDF + "type"
-MAX_DEPTH = 32
 
 
 def _term(kind: Column, value: Column, datatype: Column, lang: Column) -> Column:
     return F.struct(kind.alias("kind"), value.alias("value"), datatype.alias("datatype"), lang.alias("lang"))
 
 
-
-
 def subject_term() -> Column:
     none = F.lit(None).cast("string")
     return _term(F.col("s_kind"), F.col("s"), none, none)
@@ -150,22 +147,21 @@ def path(q: DataFrame, expr) -> DataFrame:
 
 # --- fixpoints -------------------------------------------------------------------------------
 
-def closure(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def closure(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """All (a, b) with a path from a to b, for class hierarchies and path expressions.
 
-    Path lengths double each round, so the rounds grow with the logarithm of the depth; each round
-    is cut from its lineage. Cycles end by themselves because pairs are distinct. The result holds
-    every reachable pair, so use it on schema-sized relations; ``reach`` marks nodes alone.
+    Path lengths double each round, but only pairs that the round before found are joined with the others.
+    Cycles end by themselves because pairs are distinct. The result holds every reachable pair, so use it on
+    schema-sized relations; ``reach_pairs`` keeps the pairs of asked starts, ``reach`` marks nodes alone.
     """
-    pairs = cut_lineage(edges.select("a", "b").distinct())
-    size = pairs.count()
+    pairs = fresh = cut_lineage(edges.select("a", "b").distinct())
     for _ in range(rounds):
-        step = pairs.select("a", F.col("b").alias("_m")).join(pairs.select(F.col("a").alias("_m"), "b"), "_m").select("a", "b")
-        grown = cut_lineage(pairs.union(step).distinct())
-        now = grown.count()
-        if now == size:
-            return grown
-        pairs, size = grown, now
+        ahead = fresh.select("a", F.col("b").alias("_m")).join(pairs.select(F.col("a").alias("_m"), "b"), "_m").select("a", "b")
+        behind = pairs.select("a", F.col("b").alias("_m")).join(fresh.select(F.col("a").alias("_m"), "b"), "_m").select("a", "b")
+        fresh = cut_lineage(ahead.union(behind).distinct().join(pairs, ["a", "b"], "left_anti"))
+        if fresh.isEmpty():
+            return pairs
+        pairs = cut_lineage(pairs.union(fresh))
     raise RuntimeError("closure did not settle; the relation is deeper than 2**rounds")
 
 
@@ -176,20 +172,103 @@ def superclasses(classes: DataFrame, equivalents: DataFrame | None = None) -> Da
     return closure(edges).unionByName(own).distinct()
 
 
+def contract_chains(edges: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, inner): edges with every unbranched run put into one link.
+
+    A node is inside a run if it has one link in and one out and is not in ``keep`` (node). ``inner`` gives for
+    each such node the ``entry``, the nearest node before it that is not inside one, or NULL on a ring of inner
+    nodes alone. Jumps back along a run double, so a run of n nodes takes log n rounds. ``links`` is (a, b, last):
+    a to b, by way of the run that ends with ``last`` where that is not NULL.
+    """
+    edges = cut_lineage(edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct())
+    out = edges.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("node")
+    into = edges.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("before")).where("n = 1").select("node", "before")
+    inside = into.where("before != node").join(out, "node", "left_semi").join(keep.select("node").distinct(), "node", "left_anti")
+    own = inside.select(F.col("node").alias("before"), F.lit(True).alias("_inner"))
+    back = cut_lineage(inside.join(own, "before", "left").select("node", F.col("before").alias("entry"), F.col("_inner").isNull().alias("done")))
+    waiting = back.where("not done").count()
+    while waiting:
+        there = back.select(F.col("node").alias("entry"), F.col("entry").alias("_entry"), F.col("done").alias("_done"))
+        moved = back.where("not done").join(there, "entry").select("node", F.col("_entry").alias("entry"), F.col("_done").alias("done"))
+        back = cut_lineage(back.where("done").unionByName(moved))
+        now = back.where("not done").count()
+        if now == waiting:  # a run that ends has a node at every distance, so what is left are rings
+            break
+        waiting = now
+    inner = back.select("node", F.when(F.col("done"), F.col("entry")).alias("entry"))
+    mark = inner.select("node", "entry", F.lit(True).alias("_in"))
+    sides = edges.join(mark.select(F.col("node").alias("a"), "entry", F.col("_in").alias("_from")), "a", "left").join(
+        mark.select(F.col("node").alias("b"), F.col("_in").alias("_to")), "b", "left").where("_to is null")
+    links = sides.select(F.when(F.col("_from").isNull(), F.col("a")).otherwise(F.col("entry")).alias("a"), "b", F.when(F.col("_from"), F.col("a")).alias("last"))
+    return cut_lineage(links), cut_lineage(inner)
+
+
+def reach_pairs(edges: DataFrame, start: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """(start, node): all nodes that each asked start (column node) reaches, itself included.
+
+    Unbranched runs are contracted first, so the rounds grow with the branchings on a way and not with its
+    length; only nodes found in the last round are followed, and no pairs but the asked ones are kept.
+    """
+    start = cut_lineage(start.select("node").where("node is not null").distinct())
+    links, inner = contract_chains(edges, start)
+    hops = links.select(F.col("a").alias("node"), F.col("b").alias("_next")).distinct()
+    seen = frontier = cut_lineage(start.select(F.col("node").alias("start"), "node"))
+    for _ in range(rounds):
+        fresh = frontier.join(hops, "node").select("start", F.col("_next").alias("node")).distinct()
+        frontier = cut_lineage(fresh.join(seen, ["start", "node"], "left_anti"))
+        if frontier.isEmpty():
+            runs = seen.withColumnRenamed("node", "entry").join(inner, "entry").select("start", "node")
+            return seen.unionByName(runs)
+        seen = cut_lineage(seen.unionByName(frontier))
+    raise RuntimeError("reachability did not settle")
+
+
 def reach(edges: DataFrame, start: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """Nodes reachable from ``start`` (column node), itself included; one row per node."""
-    seen = cut_lineage(start.select("node").distinct())
-    frontier = seen
-    links = edges.select(F.col("a").alias("node"), F.col("b").alias("_next")).distinct()
+    """Nodes reachable from ``start`` (column node), itself included; one row per node. Rounds as ``reach_pairs``."""
+    start = cut_lineage(start.select("node").where("node is not null").distinct())
+    links, inner = contract_chains(edges, start)
+    hops = links.select(F.col("a").alias("node"), F.col("b").alias("_next")).distinct()
+    seen = frontier = start
     for _ in range(rounds):
-        fresh = frontier.join(links, "node").select(F.col("_next").alias("node")).distinct().join(seen, "node", "left_anti")
+        fresh = frontier.join(hops, "node").select(F.col("_next").alias("node")).distinct().join(seen, "node", "left_anti")
         frontier = cut_lineage(fresh)
         if frontier.isEmpty():
-            return seen
+            return seen.unionByName(seen.withColumnRenamed("node", "entry").join(inner, "entry").select("node"))
         seen = cut_lineage(seen.unionByName(frontier))
     raise RuntimeError("reachability did not settle")
 
 
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Nodes (column node) that lie on a cycle.
+
+    Runs are contracted; nodes without a link in or out are peeled off; pairs are formed only among the
+    branching nodes that are left.
+    """
+    links, inner = contract_chains(edges, edges.select(F.col("a").alias("node")).limit(0))
+    core = cut_lineage(links.select("a", "b").where("a is not null").distinct())
+    size = core.count()
+    while size:
+        kept = core.join(core.select(F.col("a").alias("b")).distinct(), "b", "left_semi").join(
+            core.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b")
+        core = cut_lineage(kept)
+        now = core.count()
+        if now == size:
+            break
+        size = now
+    rings = inner.where("entry is null").select("node")
+    if not size:
+        return rings
+    pairs = closure(core)
+    branching = pairs.where(F.col("a") == F.col("b")).select(F.col("a").alias("node"))
+    # A run lies on a cycle if its end is its entry or leads back to it.
+    home = pairs.select(F.col("a").alias("b"), F.col("b").alias("a"))
+    closed = links.where("last is not null").select("a", "b", "last")
+    closed = closed.where("a = b").unionByName(closed.where("a != b").join(home, ["a", "b"], "left_semi").select("a", "b", "last"))
+    back = edges.select("a", "b").distinct().join(inner.select(F.col("node").alias("a")), "a", "left_semi").join(inner.select(F.col("node").alias("b")), "b", "left_semi")
+    runs = reach(back.select(F.col("b").alias("a"), F.col("a").alias("b")), closed.select(F.col("last").alias("node")))
+    return rings.unionByName(branching).unionByName(runs).distinct()
+
+
 def connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, component): the smallest node of each connected component.
 
@@ -226,8 +305,8 @@ def connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
 def replacement_chains(terms: DataFrame, edges: DataFrame) -> DataFrame:
     """Findings on replacements of deprecated terms: missing, self, cycle, no live end.
 
-    ``terms``: node, deprecated. ``edges``: a is replaced by b. Only nodes are marked, never pairs,
-    except among the few that may lie on a cycle.
+    ``terms``: node, deprecated. ``edges``: a is replaced by b. Nodes are marked, and unbranched chains are
+    followed by doubling; pairs are formed only among the branching nodes of cycles.
     """
     old = terms.where("deprecated").select("node").distinct()
     links = edges.join(old.withColumnRenamed("node", "a"), "a", "left_semi").select("a", "b").distinct()
@@ -237,56 +316,52 @@ def replacement_chains(terms: DataFrame, edges: DataFrame) -> DataFrame:
     backwards = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
     saved = reach(backwards, live_ends)
     stuck = links.select(F.col("a").alias("node")).distinct().join(saved, "node", "left_anti").select("node", F.lit("TERMINAL_MISSING").alias("code"))
-    core = cut_lineage(links.join(old.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b"))
-    size = core.count()
-    while size:
-        # A link on a cycle has links after its end and before its start.
-        kept = core.join(core.select(F.col("a").alias("b")).distinct(), "b", "left_semi").join(
-            core.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b")
-        kept = cut_lineage(kept)
-        now = kept.count()
-        core, done = kept, now == size
-        size = now
-        if done:
-            break
-    out = missing.unionByName(own).unionByName(stuck)
-    if size:
-        cycle = closure(core).where(F.col("a") == F.col("b")).select(F.col("a").alias("node"), F.lit("REPLACEMENT_CYCLE").alias("code"))
-        out = out.unionByName(cycle)
-    return out
+    core = links.join(old.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
+    cycle = on_cycles(core).select("node", F.lit("REPLACEMENT_CYCLE").alias("code"))
+    return missing.unionByName(own).unionByName(stuck).unionByName(cycle)
 
 
-def rdf_list(q: DataFrame, rounds: int = 40) -> tuple[DataFrame, DataFrame]:
+def rdf_list(q: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, faults): list members as graph, head, pos, value, value_kind; faulty cells with a code.
 
-    Each cell looks back to its predecessor and the jumps double, so a list of n cells takes log n
-    rounds. Cells that never find a head lie on a cycle.
+    A head is a cell that no rest points to, or that another statement than a rest points to. Every head gets its
+    whole list, so lists with a common tail each have all of it. The jumps of all cells double; with them (head,
+    cell) rows double as well, each made once, so a list of n cells takes log n rounds.
+
+    Faults: LIST_CARDINALITY (not one first and one rest), LIST_CYCLE (the cell lies on a cycle or leads to one;
+    its lists have no members), LIST_OPEN (the rest is neither another cell nor nil; members up to there stay).
     """
-    cells = q.where(F.col("p").isin(RDF + "first", RDF + "rest")).groupBy("graph", "s").agg(
+    cells = cut_lineage(q.where(F.col("p").isin(RDF + "first", RDF + "rest")).groupBy("graph", "s").agg(
         F.count_if(F.col("p") == RDF + "first").alias("_firsts"), F.count_if(F.col("p") == RDF + "rest").alias("_rests"),
         F.max(F.when(F.col("p") == RDF + "first", F.struct("o", "o_kind"))).alias("_first"),
-        F.max(F.when(F.col("p") == RDF + "rest", F.col("o"))).alias("_rest"))
+        F.max(F.when(F.col("p") == RDF + "rest", F.col("o"))).alias("_rest")))
     broken = cells.where((F.col("_firsts") != 1) | (F.col("_rests") != 1)).select("graph", F.col("s").alias("cell"), F.lit("LIST_CARDINALITY").alias("code"))
-    back = cells.where(F.col("_rest") != RDF + "nil").groupBy("graph", F.col("_rest").alias("s")).agg(F.min("s").alias("_before"))
-    jump = cut_lineage(cells.select("graph", "s", "_first").join(back, ["graph", "s"], "left").select(
-        "graph", "s", "_first", F.coalesce("_before", "s").alias("ptr"), F.col("_before").isNull().alias("done"), F.when(F.col("_before").isNull(), 0).otherwise(1).alias("pos")))
-    open_cells = jump.where(~F.col("done")).count()
-    for _ in range(rounds):
-        if not open_cells:
-            break
-        there = jump.select("graph", F.col("s").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("pos").alias("_pos"), F.col("done").alias("_done"))
-        moved = jump.join(there, ["graph", "ptr"], "left").select(
-            "graph", "s", "_first", F.when(F.col("done"), F.col("ptr")).otherwise(F.coalesce("_ptr", "ptr")).alias("ptr"),
-            (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done"),
-            F.when(F.col("done"), F.col("pos")).otherwise(F.col("pos").cast("bigint") + F.coalesce("_pos", F.lit(0))).alias("pos"))
-        jump = cut_lineage(moved)
-        now = jump.where(~F.col("done")).count()
-        if now == open_cells and _ > 0 and 2 ** _ > now:
+    named = cells.select("graph", F.col("s").alias("to"), F.lit(True).alias("_cell"))
+    after = cells.where(F.col("_rest").isNotNull() & (F.col("_rest") != RDF + "nil")).select("graph", F.col("s").alias("cell"), F.col("_rest").alias("to")).join(
+        named, ["graph", "to"], "left")
+    open_ = after.where("_cell is null").select("graph", "cell", F.lit("LIST_OPEN").alias("code"))
+    jumps = [cut_lineage(after.where("_cell").select("graph", "cell", "to"))]
+    counts = [jumps[0].count()]
+    while counts[-1] and (len(counts) == 1 or counts[-1] != counts[-2]):
+        # A chain that ends has a cell at every distance from its end: an unchanged number means cycles alone.
+        last = jumps[-1]
+        jumps.append(cut_lineage(last.select("graph", "cell", F.col("to").alias("_m")).join(
+            last.select("graph", F.col("cell").alias("_m"), "to"), ["graph", "_m"]).select("graph", "cell", "to")))
+        counts.append(jumps[-1].count())
+    endless = jumps[-1].select("graph", "cell")
+    cyclic = endless.withColumn("code", F.lit("LIST_CYCLE"))
+    inside = cells.where("_rest is not null").select("graph", F.col("_rest").alias("s"))
+    pointed = q.where((F.col("p") != RDF + "rest") & (F.col("o_kind") != "literal")).select("graph", F.col("o").alias("s"))
+    heads = cells.select("graph", "s").join(inside, ["graph", "s"], "left_anti").unionByName(cells.select("graph", "s").join(pointed, ["graph", "s"], "left_semi")).distinct()
+    rows = heads.select("graph", F.col("s").alias("head"), F.col("s").alias("cell"), F.lit(0).cast("bigint").alias("pos")).join(endless, ["graph", "cell"], "left_anti")
+    for k, jump in enumerate(jumps):
+        if not counts[k]:
             break
-        open_cells = now
-    members = jump.where("done").select("graph", F.col("ptr").alias("head"), F.col("pos").cast("bigint").alias("pos"), F.col("_first.o").alias("value"), F.col("_first.o_kind").alias("value_kind"))
-    cyclic = jump.where(~F.col("done")).select("graph", F.col("s").alias("cell"), F.lit("LIST_CYCLE").alias("code"))
-    return members, broken.unionByName(cyclic)
+        step = rows.join(jump, ["graph", "cell"]).select("graph", F.col("to").alias("cell"), "head", (F.col("pos") + (1 << k)).alias("pos"))
+        rows = cut_lineage(rows.unionByName(step))
+    members = rows.join(cells.select("graph", F.col("s").alias("cell"), "_first"), ["graph", "cell"]).select(
+        "graph", "head", "pos", F.col("_first.o").alias("value"), F.col("_first.o_kind").alias("value_kind"))
+    return members, broken.unionByName(cyclic).unionByName(open_)
 
 
 # --- digests ---------------------------------------------------------------------------------
@@ -325,43 +400,54 @@ def union_graphs(*graphs: DataFrame, name: str | None = None) -> DataFrame:
     return (merged.withColumn("graph", F.lit(name)) if name else merged).distinct()
 
 
-def node_signature(q: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def node_signature(q: DataFrame) -> DataFrame:
     """(graph, s, signature): structural digest of nodes; nested anonymous nodes count by content.
 
-    Works upwards from nodes without anonymous children. Nodes deeper than ``max_depth`` or on an
-    anonymous cycle get no signature.
+    Classes of nodes are refined: a node starts as the digest of its statements about named nodes and literals,
+    and every round takes in the predicates and signatures of its anonymous values, until the number of classes
+    stands still. So depth is not limited, and anonymous cycles are told apart as far as their statements differ.
+    Statements of one node are added up, never listed, so a node may have any number. Signatures compare within
+    one call, over all its graphs.
     """
     leaf = F.sha2(F.to_json(F.struct("p", "o_kind", "o", "datatype", "lang")), 256)
-    fixed = q.where(F.col("o_kind") != "bnode").select("graph", "s", "s_kind", leaf.alias("_d"))
-    open_edges = cut_lineage(q.where(F.col("o_kind") == "bnode").select("graph", "s", "s_kind", "p", F.col("o").alias("_child")).distinct())
-    fixed = cut_lineage(fixed.distinct())
-    done = None
-    for _ in range(max_depth + 1):
-        waiting = open_edges.select("graph", "s").distinct()
-        ready = fixed.join(waiting, ["graph", "s"], "left_anti")
-        if done is not None:
-            ready = ready.join(done.select("graph", "s"), ["graph", "s"], "left_anti")
-        fresh = cut_lineage(ordered_root(ready, ["graph", "s", "s_kind"], "_d").select("graph", "s", "s_kind", F.col("root").alias("signature")))
-        done = fresh if done is None else cut_lineage(done.unionByName(fresh))
-        if open_edges.isEmpty() or fresh.isEmpty():
+    fixed = ordered_root(q.where(F.col("o_kind") != "bnode").select("graph", "s", leaf.alias("_d")).distinct(), ["graph", "s"], "_d").select(
+        "graph", "s", F.col("root").alias("_own"))
+    links = cut_lineage(q.where(F.col("o_kind") == "bnode").select("graph", "s", "p", F.col("o").alias("_child")).distinct())
+    nodes = q.select("graph", "s").unionByName(links.select("graph", F.col("_child").alias("s"))).distinct()
+    start = cut_lineage(nodes.join(fixed, ["graph", "s"], "left").select("graph", "s", F.coalesce("_own", F.lit("")).alias("signature")))
+    # Only nodes on links between nodes can change.
+    parents = links.select("graph", "s").distinct()
+    moving = cut_lineage(start.join(parents, ["graph", "s"], "left_semi"))
+    still = start.join(parents, ["graph", "s"], "left_anti")
+    leaves = cut_lineage(still.join(links.select("graph", F.col("_child").alias("s")).distinct(), ["graph", "s"], "left_semi"))
+    half = lambda salt: F.sum(F.xxhash64(F.lit(salt), "p", "signature").cast("decimal(38,0)"))
+    classes = moving.agg(F.count_distinct("signature").alias("n")).first()["n"]
+    while classes:
+        values = links.join(moving.unionByName(leaves).select("graph", F.col("s").alias("_child"), "signature"), ["graph", "_child"])
+        sums = values.groupBy("graph", "s").agg(half(1).alias("_x"), half(2).alias("_y"), F.count(F.lit(1)).alias("_n"))
+        moving = cut_lineage(moving.join(sums, ["graph", "s"]).select(
+            "graph", "s", F.sha2(F.concat_ws("|", "signature", F.col("_x").cast("string"), F.col("_y").cast("string"), F.col("_n").cast("string")), 256).alias("signature")))
+        now = moving.agg(F.count_distinct("signature").alias("n")).first()["n"]
+        if now == classes:
             break
-        known = fresh.where(F.col("s_kind") == "bnode").select("graph", F.col("s").alias("_child"), "signature")
-        solved = open_edges.join(known, ["graph", "_child"]).select("graph", "s", "s_kind", F.sha2(F.concat_ws("|", "p", F.lit("bnode"), "signature"), 256).alias("_d"))
-        fixed = cut_lineage(fixed.unionByName(solved))
-        open_edges = cut_lineage(open_edges.join(known, ["graph", "_child"], "left_anti"))
-    return done.select("graph", "s", "signature")
+        classes = now
+    return still.unionByName(moving).join(q.select("graph", "s").distinct(), ["graph", "s"], "left_semi").select("graph", "s", "signature")
+
 
+def anchors(q: DataFrame) -> DataFrame:
+    """(graph, node, anchor): named ancestors of anonymous nodes with the predicates in between.
 
-def anchors(q: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(graph, node, anchor): named ancestors of anonymous nodes with the predicates in between."""
+    Ways go up to any depth; a way that comes back to a node it has passed is not followed further.
+    """
     up = cut_lineage(q.where(F.col("o_kind") == "bnode").select("graph", F.col("o").alias("_at"), F.col("s").alias("_up"), F.col("s_kind").alias("_up_kind"), "p").distinct())
-    walk = up.select("graph", F.col("_at").alias("node"), "_up", "_up_kind", F.col("p").alias("_path"))
+    walk = up.select("graph", F.col("_at").alias("node"), "_up", "_up_kind", F.col("p").alias("_path"), F.array("_at").alias("_passed"))
     found = None
-    for _ in range(max_depth):
-        hit = walk.where(F.col("_up_kind") == "iri").select("graph", "node", F.concat_ws("|", "_up", "_path").alias("anchor"))
+    while True:
+        hit = cut_lineage(walk.where(F.col("_up_kind") == "iri").select("graph", "node", F.concat_ws("|", "_up", "_path").alias("anchor")).distinct())
         found = hit if found is None else found.unionByName(hit)
-        pending = walk.where(F.col("_up_kind") == "bnode").select("graph", "node", F.col("_up").alias("_at"), "_path")
-        walk = cut_lineage(pending.join(up, ["graph", "_at"]).select("graph", "node", "_up", "_up_kind", F.concat_ws("|", "p", "_path").alias("_path")).distinct())
+        pending = walk.where((F.col("_up_kind") == "bnode") & ~F.array_contains("_passed", F.col("_up"))).select(
+            "graph", "node", F.col("_up").alias("_at"), "_path", F.array_append("_passed", F.col("_up")).alias("_passed"))
+        walk = cut_lineage(pending.join(up, ["graph", "_at"]).select(
+            "graph", "node", "_up", "_up_kind", F.concat_ws("|", "p", "_path").alias("_path"), "_passed").distinct())
         if walk.isEmpty():
-            break
-    return found.distinct()
+            return found.distinct()

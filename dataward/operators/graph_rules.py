@@ -277,18 +277,24 @@ def disjoint_pairs(q: DataFrame, relation: str, group_class: str) -> DataFrame:
     return direct, listed
 
 
+def _beside_least(rows: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """Keys, left (the least member of a group) and right (each of its other members)."""
+    least = rows.groupBy(*keys).agg(F.min(member).alias("left"), F.max(member).alias("_most")).where("left != _most").drop("_most")
+    return rows.join(least, keys).where(F.col(member) != F.col("left")).select(*keys, "left", F.col(member).alias("right"))
+
+
 def disjoint_instances(q: DataFrame) -> DataFrame:
     """(code, s, left, right): resources typed as two disjoint classes.
 
-    List members are not paired: a resource with two distinct types from one list is found by
-    counting, and reported with the least and the greatest of them.
+    A resource with several types from one list has a row for each of them but the least, next to the least:
+    all are named, and none are paired with each other.
     """
     direct, listed = disjoint_pairs(q, OWL + "disjointWith", OWL + "AllDisjointClasses")
     types = q.where(F.col("p") == RDF_TYPE).select("s", F.col("o").alias("cls")).distinct()
     left = direct.join(types.withColumnRenamed("cls", "left"), "left")
     both = left.join(types.withColumnRenamed("cls", "right"), ["s", "right"]).select("s", "left", "right")
-    in_list = types.join(listed.select("graph", "head", F.col("value").alias("cls")).distinct(), "cls").groupBy("s", "graph", "head").agg(
-        F.min("cls").alias("left"), F.max("cls").alias("right")).where(F.col("left") != F.col("right")).select("s", "left", "right")
+    held = types.join(listed.select("graph", "head", F.col("value").alias("cls")).distinct(), "cls")
+    in_list = _beside_least(held, ["s", "graph", "head"], "cls").select("s", "left", "right")
     return both.unionByName(in_list).distinct().select(F.lit("DISJOINT_CLASS_INSTANCE").alias("code"), "s", "left", "right")
 
 
@@ -298,8 +304,8 @@ def disjoint_properties(q: DataFrame) -> DataFrame:
     uses = q.select("s", "o", "o_kind", F.col("p").alias("prop")).distinct()
     left = direct.join(uses.withColumnRenamed("prop", "left"), "left")
     both = left.join(uses.withColumnRenamed("prop", "right"), ["s", "o", "o_kind", "right"]).select("s", "left", "right")
-    in_list = uses.join(listed.select("graph", "head", F.col("value").alias("prop")).distinct(), "prop").groupBy("s", "o", "o_kind", "graph", "head").agg(
-        F.min("prop").alias("left"), F.max("prop").alias("right")).where(F.col("left") != F.col("right")).select("s", "left", "right")
+    held = uses.join(listed.select("graph", "head", F.col("value").alias("prop")).distinct(), "prop")
+    in_list = _beside_least(held, ["s", "o", "o_kind", "graph", "head"], "prop").select("s", "left", "right")
     return both.unionByName(in_list).distinct().select(F.lit("DISJOINT_PROPERTY_ASSERTION").alias("code"), "s", "left", "right")
 
 
@@ -336,7 +342,8 @@ def schema_findings(ontology: DataFrame, namespace: str) -> DataFrame:
         comp = lambda n: parts.select(c("node").alias(n), c("component").alias(f"_{n}"))
         hit = direct.join(comp("left"), "left", "left").join(comp("right"), "right", "left").where(
             (c("left") == c("right")) | (c("_left") == c("_right"))).select(c("left").alias("term"), c("right").alias("other"))
-        in_list = listed.join(comp("value"), "value").groupBy("graph", "head", "_value").agg(F.min("value").alias("term"), F.max("value").alias("other")).where(c("term") != c("other")).select("term", "other")
+        in_list = _beside_least(listed.select("graph", "head", "value").distinct().join(comp("value"), "value"), ["graph", "head", "_value"], "value").select(
+            c("left").alias("term"), c("right").alias("other"))
         frames.append(out(hit.unionByName(in_list).distinct(), code, other="other"))
     marker = ontology.where(c("p") == OWL + "deprecated")
     fine = (c("o_kind") == "literal") & (c("datatype") == XSD + "boolean") & c("o").isin("true", "false", "1", "0")

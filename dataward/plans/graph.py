@@ -212,3 +212,74 @@ def node_signatures(spark, sf):
 @query("anonymous_anchors", """select 'm' || p_partkey as node, 'urn:x:p' || p_partkey || '|urn:x:shape' as anchor from part union all select 'l' || p_partkey, 'urn:x:p' || p_partkey || '|urn:x:shape|urn:x:inner' from part""")
 def anonymous_anchors(spark, sf):
     return G.anchors(nested_shapes(spark, sf)).select("node", "anchor")
+
+
+@query("rdf_shared_tails", """with p as (select p_partkey as k, p_name as v from part), m as (select max(p_partkey) as m from part)
+  select 'cell' || (k // 50 * 50) as head, cast(k % 50 as bigint) as pos, v as value from p
+  union all select 'side' || (k // 50 * 50 + 20), 1 + k % 50 - 20, v from p, m where k % 50 >= 20
+  union all select 'side' || k, 0, 'side of ' || v from p where k % 50 = 20
+  union all select 'cell' || (k // 50 * 50 + 35), k % 50 - 35, v from p where k % 50 >= 35""")
+def rdf_shared_tails(spark, sf):
+    """Lists that others join in the middle, and a middle that is itself pointed to: all have their whole tails."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    cell = F.concat(F.lit("cell"), k.cast("string"))
+    side = statements(p.where(k % 50 == 20), F.concat(F.lit("side"), k.cast("string")), [(G.RDF + "first", F.concat(F.lit("side of "), F.col("p_name")), "literal", None, None), (G.RDF + "rest", cell, "bnode", None, None)]).withColumn("s_kind", F.lit("bnode"))
+    use = statements(p.where(k % 50 == 35), iri("p", "p_partkey"), [(EX + "parts", cell, "bnode", None, None)])
+    members, _ = G.rdf_list(list_quads(spark, sf).unionByName(side).unionByName(use))
+    return members.select("head", "pos", "value")
+
+
+@query("rdf_open_ends", """select 'cell' || p_partkey as cell, case when p_partkey % 20 = 9 then 'LIST_OPEN' else 'LIST_CYCLE' end as code from part where p_partkey % 20 = 9 or p_partkey % 20 >= 10""")
+def rdf_open_ends(spark, sf):
+    """Lists of ten: every other one ends at a node that is no cell, the others run into a cycle of their last three."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    after = F.when(k % 20 == 9, F.lit("nowhere")).when(k % 20 == 19, F.concat(F.lit("cell"), (k - 2).cast("string"))).otherwise(F.concat(F.lit("cell"), (k + 1).cast("string")))
+    q = statements(p, F.concat(F.lit("cell"), k.cast("string")), [(G.RDF + "first", F.col("p_name"), "literal", None, None), (G.RDF + "rest", after, "bnode", None, None)])
+    return G.rdf_list(q.withColumn("s_kind", F.lit("bnode")))[1].select("cell", "code")
+
+
+@query("signature_classes", """select 'n' || p_partkey as s, 'n' || min(p_partkey) over (partition by p_partkey % 12, p_partkey % 4 = 3, case when p_partkey % 4 = 3 then p_size end) as like_node from part where p_partkey % 4 = 3
+  union all select 'n' || p_partkey, 'n' || min(p_partkey) over (partition by p_partkey % 12) from part where p_partkey % 4 < 3""")
+def signature_classes(spark, sf):
+    """Anonymous nodes in rings of twelve kinds and beside them: which nodes are alike.
+
+    Of every four nodes three lie on a ring whose nodes tell their place, the fourth holds a size.
+    """
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    node = F.concat(F.lit("n"), k.cast("string"))
+    ring = F.concat(F.lit("n"), F.when(k % 4 == 2, k - 2).otherwise(k + 1).cast("string"))
+    q = statements(p, node, [(EX + "kind", (k % 12).cast("string"), "literal", None, None)]).unionByName(
+        statements(p.where(k % 4 < 3), node, [(EX + "next", ring, "bnode", None, None)])).unionByName(
+        statements(p.where(k % 4 == 3), node, [(EX + "size", text("p_size"), "literal", None, None)])).withColumn("s_kind", F.lit("bnode"))
+    sig = G.node_signature(q)
+    number = F.substring("s", 2, 20).cast("bigint")
+    least = sig.groupBy("signature").agg(F.min(number).alias("_n"))
+    return sig.join(least, "signature").select("s", F.concat(F.lit("n"), F.col("_n").cast("string")).alias("like_node"))
+
+
+def chain_edges(spark, sf) -> DataFrame:
+    """Parts as chains of five hundred towards the lower number, with a few bridges between chains."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    down = p.where(k % 500 != 0).select(k.alias("a"), (k - 1).alias("b"))
+    return down.unionByName(p.where((k % 500 == 100) & (k >= 500)).select(k.alias("a"), (k - 400).alias("b")))
+
+
+_CHAIN = """e as (select p_partkey as a, p_partkey - 1 as b from part where p_partkey % 500 <> 0 union all select p_partkey, p_partkey - 400 from part where p_partkey % 500 = 100 and p_partkey >= 500)"""
+
+
+@query("reach_chains", f"""with recursive {_CHAIN}, r as (select p_partkey as start, p_partkey as node from part where p_partkey % 500 = 250 union select r.start, e.b from r join e on e.a = r.node) select start, node from r""")
+def reach_chains(spark, sf):
+    """What every asked node reaches along chains that no round follows link by link."""
+    return G.reach_pairs(chain_edges(spark, sf), table(spark, sf, "part").where("p_partkey % 500 = 250").select(F.col("p_partkey").alias("node")))
+
+
+@query("cycle_nodes", """select p_partkey as node, p_partkey % 40 < 13 as on_ring from part, (select max(p_partkey) as m from part) where p_partkey // 40 * 40 + 12 <= m and p_partkey % 40 <= 12
+  or (p_partkey // 40 * 40 + 39 <= m and p_partkey % 40 between 30 and 39)""")
+def cycle_nodes(spark, sf):
+    """Rings of thirteen with tails, and rings of ten alone, by blocks of forty parts."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    ring = p.where(k % 40 < 12).select(k.alias("a"), (k + 1).alias("b")).unionByName(p.where(k % 40 == 12).select(k.alias("a"), (k - 12).alias("b")))
+    tail = p.where((k % 40 > 12) & (k % 40 < 30)).select(k.alias("a"), F.when(k % 40 == 13, k - 13).otherwise(k - 1).alias("b"))
+    alone = p.where((k % 40 >= 30) & (k % 40 < 39)).select(k.alias("a"), (k + 1).alias("b")).unionByName(p.where(k % 40 == 39).select(k.alias("a"), (k - 9).alias("b")))
+    found = G.on_cycles(ring.unionByName(tail).unionByName(alone))
+    return found.select("node", (F.col("node") % 40 < 13).alias("on_ring"))

@@ -166,6 +166,22 @@ def disjoint_instances(spark, sf):
     return R.disjoint_instances(types.unionByName(facts)).select("s").distinct()
 
 
+@query("disjoint_members", """with t as (select distinct o_custkey as s, o_orderpriority as cls from orders where o_orderpriority in ('2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED')),
+  m as (select *, min(cls) over (partition by s) as least from t) select 'urn:x:c' || s as s, least as first_class, cls as other_class from m where cls <> least""")
+def disjoint_members(spark, sf):
+    """Customers with several classes of one disjoint list: every class beside the first, none left out.
+
+    The list is the tail of a longer one that is not a disjointness.
+    """
+    types = statements(table(spark, sf, "orders"), iri("c", "o_custkey"), [(RDF_TYPE, F.col("o_orderpriority"), "iri", None, None)])
+    r, k = table(spark, sf, "region"), F.col("r_regionkey")
+    cells = F.element_at(F.array(*[F.lit(x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")]), (k + 1).cast("int"))
+    facts = statements(r.where(k == 0), F.lit("group"), [(RDF_TYPE, F.lit(R.OWL + "AllDisjointClasses"), "iri", None, None), (R.OWL + "members", F.lit("l1"), "bnode", None, None)]).unionByName(
+        statements(r.where(k < 4), F.concat(F.lit("l"), text("r_regionkey")), [(RDF + "first", cells, "iri", None, None),
+                   (RDF + "rest", F.when(k < 3, F.concat(F.lit("l"), (k + 1).cast("string"))).otherwise(RDF + "nil"), "bnode", None, None)]).withColumn("s_kind", F.lit("bnode")))
+    return R.disjoint_instances(types.unionByName(facts)).select("s", F.col("left").alias("first_class"), F.col("right").alias("other_class"))
+
+
 @query("disjoint_properties", """select distinct 'urn:x:c' || a.o_custkey as s from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderstatus = 'F' and b.o_orderstatus = 'O' and a.o_orderkey % 7 = b.o_orderkey % 7""")
 def disjoint_properties(spark, sf):
     q = statements(table(spark, sf, "orders"), iri("c", "o_custkey"), [(EX + "F", only(F.col("o_orderstatus") == "F", (F.col("o_orderkey") % 7).cast("string")), "literal", None, None), (EX + "O", only(F.col("o_orderstatus") == "O", (F.col("o_orderkey") % 7).cast("string")), "literal", None, None)])
