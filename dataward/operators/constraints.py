@@ -7,14 +7,18 @@ conforms when it is absent from the violating nodes of the shape.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dataward.functions.barrier import once
 from dataward.functions.lexical import xsd_valid
 from dataward.functions.lineage import cut_lineage
+from dataward.functions.ordering import XSD, before, order_key
 from dataward.operators.graph import RDF_TYPE, path
 
 NODE = ["graph", "node", "node_kind"]
@@ -22,6 +26,15 @@ STRING = "http://www.w3.org/2001/XMLSchema#string"
 LANG_STRING = "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString"
 
 
+@dataclass(frozen=True)
+class Term:
+    """A whole term as a parameter: kind (iri, literal, bnode), text, and of a literal its datatype and language."""
+    kind: str
+    value: str
+    datatype: str | None = None
+    lang: str | None = None
+
+
 @dataclass(frozen=True)
 class Shape:
     """One shape: where it applies, the path it looks along (None for the node), what must hold."""
@@ -110,12 +123,24 @@ def class_(q, focus, vals, term, ctx):
     return vals.join(_typed(q, term, ctx.get("superclasses")), ["graph", "v", "v_kind"], "left_anti").select("graph", "node", F.col("v").alias("value"))
 
 
+def _is(term) -> Column:
+    """Is the value this term? A plain text with a scheme stands for an IRI, any other for a literal of this text."""
+    if isinstance(term, Term):
+        if term.kind != "literal":
+            return (F.col("v_kind") == term.kind) & (F.col("v") == term.value)
+        kind = term.datatype or (LANG_STRING if term.lang else STRING)
+        return ((F.col("v_kind") == "literal") & (F.col("v") == term.value) & (_datatype() == kind)
+                & F.lower("lang").eqNullSafe(F.lit(term.lang.lower() if term.lang else None)))
+    kind = "iri" if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", term) else "literal"
+    return (F.col("v_kind") == kind) & (F.col("v") == term)
+
+
 def in_(q, focus, vals, terms, ctx):
-    return _bad(vals, ~F.col("v").isin(list(terms)))
+    return _bad(vals, ~F.coalesce(reduce(lambda a, b: a | b, [_is(t) for t in terms], F.lit(False)), F.lit(False)))
 
 
 def has_value(q, focus, vals, term, ctx):
-    return _of_focus(focus.join(vals.where(F.col("v") == term).select("graph", "node"), ["graph", "node"], "left_anti"))
+    return _of_focus(focus.join(vals.where(_is(term)).select("graph", "node"), ["graph", "node"], "left_anti"))
 
 
 def pattern(q, focus, vals, rule, ctx):
@@ -142,52 +167,59 @@ def unique_lang(q, focus, vals, on, ctx):
     return _of_focus(repeated.select("graph", "node").distinct()) if on else _of_focus(focus.where(F.lit(False)))
 
 
-def _number(col: Column) -> Column:
-    return col.try_cast("double")
-
+def _limit(limit) -> Column:
+    """Order key of a bound: a number, a ``Term`` literal, or the text of a number or an instant."""
+    if isinstance(limit, Term):
+        text, kind = limit.value, limit.datatype or STRING
+    elif isinstance(limit, str):
+        forms = ((r"[+-]?\d+", XSD + "integer"), (r"[+-]?(\d+\.?\d*|\.\d+)", XSD + "decimal"), (r"\d{4}-\d\d-\d\dT.*", XSD + "dateTime"), (r"\d{4}-\d\d-\d\d.*", XSD + "date"))
+        text, kind = limit, next((k for f, k in forms if re.fullmatch(f, limit)), STRING)
+    else:
+        text, kind = format(Decimal(str(limit)), "f"), XSD + "decimal"
+    return order_key(F.lit(text), F.lit(kind))
 
-def _comparable(col: Column, kind: Column) -> Column:
-    """Order key of a literal: numbers by value, dates and times as ISO text; NULL if not orderable."""
-    moment = kind.endswith("#date") | kind.endswith("#dateTime") | kind.endswith("#gYear")
-    return F.when(moment, F.struct(F.lit(0.0).alias("n"), col.alias("t"))).when(
-        _number(col).isNotNull(), F.struct(_number(col).alias("n"), F.lit("").alias("t")))
 
-
-def _bound(op):
+def _bound(holds):
     def check(q, focus, vals, limit, ctx):
-        if isinstance(limit, str) and not limit.lstrip("+-").replace(".", "", 1).isdigit():
-            held = op(F.col("v"), F.lit(limit))
-        else:
-            held = op(_number(F.col("v")), F.lit(float(limit)))
-        return _bad(vals, ~(F.coalesce(held, F.lit(False)) & (F.col("v_kind") == "literal")))
+        rows = once(vals, {"_key": order_key(F.col("v"), _datatype()), "_limit": _limit(limit)})
+        return _bad(rows, ~(F.coalesce(holds(F.col("_key"), F.col("_limit")), F.lit(False)) & (F.col("v_kind") == "literal")))
     return check
 
 
+def _whole(df: DataFrame) -> DataFrame:
+    """Values with what tells their terms apart besides the text."""
+    none = F.lit("")
+    return df.withColumn("_term", F.when(F.col("v_kind") == "literal", F.concat_ws(" ", _datatype(), F.lower(F.coalesce("lang", none)))).otherwise(none))
+
+
+_TERM = ["graph", "node", "v", "v_kind", "_term"]
+
+
 def equals(q, focus, vals, predicate, ctx):
-    other = values_of(q, focus, predicate)
-    key = ["graph", "node", "v", "v_kind"]
-    one = vals.join(other.select(*key), key, "left_anti")
-    two = other.join(vals.select(*key), key, "left_anti")
-    return one.unionByName(two).select("graph", "node", F.col("v").alias("value")).distinct()
+    one, two = _whole(vals), _whole(values_of(q, focus, predicate))
+    missing = one.join(two.select(*_TERM), _TERM, "left_anti").select(*_TERM)
+    extra = two.join(one.select(*_TERM), _TERM, "left_anti").select(*_TERM)
+    return missing.unionByName(extra).distinct().select("graph", "node", F.col("v").alias("value"))
 
 
 def disjoint(q, focus, vals, predicate, ctx):
-    key = ["graph", "node", "v", "v_kind"]
-    return vals.join(values_of(q, focus, predicate).select(*key), key, "left_semi").select("graph", "node", F.col("v").alias("value"))
+    other = _whole(values_of(q, focus, predicate)).select(*_TERM)
+    return _whole(vals).join(other, _TERM, "left_semi").select("graph", "node", F.col("v").alias("value"))
 
 
 def _less(strict: bool):
     def check(q, focus, vals, predicate, ctx):
-        # The greatest left and the least right value decide per node, so values are never paired.
-        key = _comparable(F.col("v"), _datatype())
-        other = values_of(q, focus, predicate)
-        unordered = other.where(key.isNull()).select("graph", "node").distinct()
-        least = other.groupBy("graph", "node").agg(F.min(key).alias("_least"))
-        rows = vals.withColumn("_key", key).join(least, ["graph", "node"])
-        held = (F.col("_key") < F.col("_least")) if strict else (F.col("_key") <= F.col("_least"))
-        wrong = rows.where(~F.coalesce(held, F.lit(False)) & F.col("_least").isNotNull())
-        odd = vals.join(unordered, ["graph", "node"], "left_semi")
-        return wrong.select("graph", "node", F.col("v").alias("value")).unionByName(odd.select("graph", "node", F.col("v").alias("value"))).distinct()
+        # Per node the least values with and without zone decide, so values are never paired. A value beside
+        # which another has no order breaks the rule.
+        key = F.when(F.col("v_kind") == "literal", order_key(F.col("v"), _datatype()))
+        other = once(values_of(q, focus, predicate), {"_key": key})
+        least = other.groupBy("graph", "node").agg(
+            F.min(F.when(F.col("_key.zoned"), F.col("_key"))).alias("_zoned"), F.min(F.when(~F.col("_key.zoned"), F.col("_key"))).alias("_plain"),
+            F.min("_key.kind").alias("_kind"), F.max("_key.kind").alias("_kind_too"), F.count_if(F.col("_key").isNull()).alias("_odd"))
+        rows = once(vals, {"_key": key}).join(least, ["graph", "node"])
+        ahead = lambda c: F.col(c).isNull() | F.coalesce(before(F.col("_key"), F.col(c), strict), F.lit(False))
+        held = (F.col("_odd") == 0) & (F.col("_kind") == F.col("_kind_too")) & ahead("_zoned") & ahead("_plain")
+        return rows.where(~F.coalesce(held, F.lit(False))).select("graph", "node", F.col("v").alias("value")).distinct()
     return check
 
 
@@ -252,7 +284,8 @@ def closed(q, focus, vals, allowed, ctx):
 CHECKS = {
     "minCount": min_count, "maxCount": max_count, "datatype": datatype, "nodeKind": node_kind, "class": class_, "in": in_,
     "hasValue": has_value, "pattern": pattern, "minLength": min_length, "maxLength": max_length, "languageIn": language_in, "uniqueLang": unique_lang,
-    "minInclusive": _bound(lambda a, b: a >= b), "maxInclusive": _bound(lambda a, b: a <= b), "minExclusive": _bound(lambda a, b: a > b), "maxExclusive": _bound(lambda a, b: a < b),
+    "minInclusive": _bound(lambda v, least: before(least, v, False)), "maxInclusive": _bound(lambda v, most: before(v, most, False)),
+    "minExclusive": _bound(lambda v, least: before(least, v)), "maxExclusive": _bound(lambda v, most: before(v, most)),
     "equals": equals, "disjoint": disjoint, "lessThan": _less(True), "lessThanOrEquals": _less(False),
     "node": node, "not": not_, "or": or_, "and": and_, "xone": xone, "qualifiedValueShape": qualified, "closed": closed,
 }

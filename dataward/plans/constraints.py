@@ -83,6 +83,53 @@ order_query("less_than", "lessThan", EX + "until", EX + "from", f"select 'urn:x:
 order_query("equals", "equals", EX + "state", EX + "status", """select 'urn:x:o' || o_orderkey as focus_node, unnest([o_orderstatus, 'F']) as value, 'equals' as component from orders where o_custkey % 3 = 0 and o_orderstatus <> 'F'""")
 order_query("disjoint", "disjoint", EX + "state", EX + "status", """select 'urn:x:o' || o_orderkey as focus_node, o_orderstatus as value, 'disjoint' as component from orders where o_custkey % 3 <> 0 or o_orderstatus = 'F'""")
 
+#: Beyond what a double can tell apart: 2^53 + 1.
+BIG = 9007199254740993
+
+
+def typed_quads(spark, sf):
+    """Orders with whole numbers beyond 2^53, long decimals, and instants with and without zone."""
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    big = (F.lit(BIG - 2) + k % 5).cast("string")
+    cents = F.concat(F.when(k % 2 == 0, "-").otherwise(""), F.lit("12345678901234567890.00000000000000000"), (k % 3).cast("string"))
+    hour = lambda c: F.lpad((c % 24).cast("string"), 2, "0")
+    stamp = lambda c, zone: F.concat(F.lit("2024-05-01T"), hour(c), F.lit(":00:00"), zone)
+    begin = stamp(k, F.when(k % 3 == 0, "Z").when(k % 3 == 1, "+09:00").otherwise(""))
+    end = F.concat(F.lit("2024-05-0"), (1 + k % 2).cast("string"), F.lit("T"), hour(F.col("o_custkey")), F.lit(":00:00.5"), F.when(k % 4 < 2, "Z").otherwise(""))
+    return statements(o, iri("o", "o_orderkey"), [
+        (RDF_TYPE, F.lit(EX + "Order"), "iri", None, None), (EX + "big", big, "literal", XSD + "integer", None), (EX + "cents", cents, "literal", XSD + "decimal", None),
+        (EX + "begin", begin, "literal", XSD + "dateTime", None), (EX + "end", end, "literal", XSD + "dateTime", None),
+        (EX + "code", (k % 7).cast("string"), "literal", XSD + "integer", None), (EX + "label", (k % 7).cast("string"), "literal", None, None),
+        (EX + "page", F.concat(F.lit(EX + "p"), (k % 2).cast("string")), "iri", None, None), (EX + "page", F.concat(F.lit(EX + "p"), (k % 3).cast("string")), "literal", None, None)])
+
+
+def typed_query(name, component, parameter, path, sql):
+    @query(f"typed_{name}", sql)
+    def run(spark, sf):
+        return C.validate(typed_quads(spark, sf), [C.Shape(name, ((component, parameter),), ("class", EX + "Order"), path)]).select("focus_node", "value")
+    return run
+
+
+_BIG = f"cast({BIG - 2} + o_orderkey % 5 as varchar)"
+for _name, _component, _broken in (("min_exclusive", "minExclusive", f"{BIG - 2} + o_orderkey % 5 <= {BIG}"), ("max_inclusive", "maxInclusive", f"{BIG - 2} + o_orderkey % 5 > {BIG}"),
+                                   ("min_inclusive", "minInclusive", f"{BIG - 2} + o_orderkey % 5 < {BIG}"), ("max_exclusive", "maxExclusive", f"{BIG - 2} + o_orderkey % 5 >= {BIG}")):
+    typed_query(_name, _component, BIG, EX + "big", f"select 'urn:x:o' || o_orderkey as focus_node, {_BIG} as value from orders where {_broken}")
+typed_query("long_decimals", "minInclusive", C.Term("literal", "-12345678901234567890.000000000000000001", XSD + "decimal"), EX + "cents",
+            """select 'urn:x:o' || o_orderkey as focus_node, case when o_orderkey % 2 = 0 then '-' else '' end || '12345678901234567890.00000000000000000' || (o_orderkey % 3) as value from orders where o_orderkey % 2 = 0 and o_orderkey % 3 = 2""")
+_INSTANTS = """i as (select o_orderkey as k, timestamp '2024-05-01' + (o_orderkey % 24) * interval 1 hour as local, o_orderkey % 3 < 2 as zoned,
+    timestamp '2024-05-01' + (o_orderkey % 24) * interval 1 hour - case when o_orderkey % 3 = 1 then interval 9 hour else interval 0 hour end as b,
+    timestamp '2024-05-01 00:00:00.5' + (o_orderkey % 2) * interval 1 day + (o_custkey % 24) * interval 1 hour as e, o_orderkey % 4 < 2 as ended from orders)"""
+typed_query("instants", "lessThan", EX + "end", EX + "begin", f"""with {_INSTANTS} select 'urn:x:o' || k as focus_node, strftime(local, '%Y-%m-%dT%H:%M:%S') || case k % 3 when 0 then 'Z' when 1 then '+09:00' else '' end as value from i
+  where not case when zoned = ended then b < e else b + interval 14 hour < e end""")
+typed_query("bound_instants", "maxInclusive", C.Term("literal", "2024-05-01T12:00:00Z", XSD + "dateTime"), EX + "begin", f"""with {_INSTANTS} select 'urn:x:o' || k as focus_node,
+  strftime(local, '%Y-%m-%dT%H:%M:%S') || case k % 3 when 0 then 'Z' when 1 then '+09:00' else '' end as value from i where not case when zoned then b <= timestamp '2024-05-01 12:00:00' else b + interval 14 hour < timestamp '2024-05-01 12:00:00' end""")
+typed_query("equal_terms", "equals", EX + "label", EX + "code", """select 'urn:x:o' || o_orderkey as focus_node, cast(o_orderkey % 7 as varchar) as value from orders, range(2)""")
+typed_query("disjoint_terms", "disjoint", EX + "label", EX + "code", """select 'urn:x:o' || o_orderkey as focus_node, 'x' as value from orders where false""")
+typed_query("has_iri", "hasValue", EX + "p1", EX + "page", """select 'urn:x:o' || o_orderkey as focus_node, cast(null as varchar) as value from orders where o_orderkey % 2 = 0""")
+typed_query("in_literals", "in", (C.Term("literal", EX + "p1"), C.Term("iri", EX + "p0")), EX + "page", """select 'urn:x:o' || o_orderkey as focus_node, 'urn:x:p1' as value from orders where o_orderkey % 2 = 1
+  union all select 'urn:x:o' || o_orderkey, 'urn:x:p' || o_orderkey % 3 from orders where o_orderkey % 3 <> 1""")
+typed_query("in_datatypes", "in", (C.Term("literal", "1", XSD + "integer"), C.Term("literal", "2")), EX + "code", """select 'urn:x:o' || o_orderkey as focus_node, cast(o_orderkey % 7 as varchar) as value from orders where o_orderkey % 7 <> 1""")
+
 SHAPES = [
     C.Shape("balance", (("minInclusive", 0), ("datatype", XSD + "decimal")), CUSTOMER, EX + "balance", "Violation", "REQ-1"),
     C.Shape("segment", (("languageIn", ("en",)),), CUSTOMER, EX + "segment", "Warning", "REQ-2"),
