@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dataward.functions.redaction import tenant_bucket
+from dataward.functions.shared_files import fresh_folder
 from dataward.operators import usage as U
 from dataward.plans.registry import query
+from dataward.sources.range_store import RangeStore
 from dataward.sources.tables import table
 
 COMPONENT = "web-analytics"
@@ -87,6 +89,27 @@ def usage_rebuild(spark, sf):
     return U.rebuild_summary(rebuilt)
 
 
+@query("usage_stored_rebuild", f"""with {_ROLLUP}, r as (select *, period_start >= timestamp '2024-01-06 05:00:00' and period_start < timestamp '2024-01-09 13:00:00' as again,
+    period_start >= timestamp '2024-01-05' and period_start < timestamp '2024-01-12' as touched from rollup where meter_name = 'purchase'),
+  n as (select count(*) filter (where touched) as t, count(*) filter (where again) as a from r)
+  select tenant_id, period_start, dimensions_sha256, case when touched and not again then quantity + 1 else quantity end as quantity, event_count, t as tampered, a as rebuilt, true as repeated_is_the_same from r, n""")
+def usage_stored_rebuild(spark, sf):
+    """The rollup is stored, a week of one meter is falsified, some hours are rebuilt from the events, and once more."""
+    events = accepted(spark, sf)
+    rollup = U.usage_rollup(events)
+    store = RangeStore(spark, fresh_folder(spark, "rollup"))
+    store.store(rollup, "first")
+    week = ("2024-01-05 00:00:00", "2024-01-12 00:00:00")
+    wrong = store.read().where("meter_name = 'purchase'").withColumn("quantity", (F.col("quantity") + 1).cast(rollup.schema["quantity"].dataType))
+    tampered = store.replace(wrong, "tamper", {"component": COMPONENT, "meter_name": "purchase"}, *week)
+    hours = ("2024-01-06 05:00:00", "2024-01-09 13:00:00")
+    again = lambda: store.replace(U.rebuild_rollup(events, "purchase", *hours), "rebuild-1", {"component": COMPONENT, "meter_name": "purchase"}, *hours)
+    first, second = again(), again()
+    return store.read().where("meter_name = 'purchase'").select(
+        "tenant_id", "period_start", "dimensions_sha256", "quantity", "event_count", F.lit(tampered["inserted"]).cast("bigint").alias("tampered"),
+        F.lit(first["inserted"]).cast("bigint").alias("rebuilt"), F.lit(first == second and len(store.log.numbers()) == 3).alias("repeated_is_the_same"))
+
+
 @query("usage_rollup_listing", f"""with {_ROLLUP} select period_start, dimensions_sha256, quantity, event_count from rollup
   where tenant_id='tenant-7' and meter_name='view' and period_start >= timestamp '2024-01-03' and period_start < timestamp '2024-01-29'""")
 def usage_rollup_listing(spark, sf):
