@@ -73,7 +73,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Tokens of the file's own that stand for themselves wherever a text holds them; such texts go to the library whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.coder = _rank_coder(path)
         self.classes = _classes()
         self.value = np.random.default_rng(10).integers(1, 1 << 63, KNOWN, dtype=np.uint64)
@@ -119,7 +120,7 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text)."""
-        plain = [t.isascii() or max(t) < "ɐ" for t in texts]
+        plain = [(t.isascii() or max(t) < "ɐ") and not any(a in t for a in self.added) for t in texts]
         joined = "".join(t for t, p in zip(texts, plain, strict=True) if p)
         sizes = np.array([len(t) if p else 0 for t, p in zip(texts, plain, strict=True)], dtype=np.int64)
         counts = np.zeros(len(texts), dtype=np.int64)
