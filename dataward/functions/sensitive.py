@@ -120,12 +120,18 @@ def scan_nested_secrets(df: DataFrame, json_col: str, keys: list[str], max_depth
 
 
 def safe_resource_ref(df: DataFrame, ref_col: str) -> DataFrame:
-    """Add ``ref_problem`` for a map of typed identifiers: credential keys, values, or URL parts."""
+    """Add ``ref_problem`` for a map of typed identifiers: credential keys, values, or URL parts. Names in a query
+    part are decoded first, so that an encoded name is seen as what it stands for."""
     def query_pairs(v: Column) -> Column:
         return F.split(F.regexp_extract(v, r"\?([^#]*)", 1), "&")
 
+    # Full-width forms of the printable ASCII characters read as those.
+    wide, plain = "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F)), "".join(chr(c) for c in range(0x21, 0x7F))
+
     def bad_pair(pair: Column) -> Column:
-        name = F.lower(F.regexp_replace(F.split(pair, "=")[0], "[._-]", ""))
+        raw = F.split(pair, "=")[0]
+        name = F.translate(F.coalesce(F.try_url_decode(raw), raw), wide, plain)
+        name = F.lower(F.regexp_replace(name, "[._-]", ""))
         value = F.try_url_decode(F.get(F.split(pair, "=", 2), F.lit(1)))
         return (name.isin(*CREDENTIAL_QUERY_NAMES) | name.rlike(CREDENTIAL_QUERY_SUFFIX)
                 | F.coalesce(matches_any(value, CREDENTIAL_VALUES), F.lit(False)))

@@ -331,6 +331,15 @@ def resource_references(spark, sf):
     return X.safe_resource_ref(table(spark, sf, "pages").select("page_id", ref.alias("ref")), "ref").select("page_id", "ref_problem")
 
 
+@query("encoded_reference_names", """select page_id, case when page_id % 6 in (1, 2, 3) then 'CREDENTIAL_QUERY' end as ref_problem from pages""")
+def encoded_reference_names(spark, sf):
+    """Names of query parts that are written in escapes or full width, one that cannot be decoded, and harmless ones."""
+    n = F.col("page_id") % 6
+    part = (F.when(n == 1, "%74oken=abc").when(n == 2, "a=1&%E2%80%8B=2&ap%69%5Fk%65y=x").when(n == 3, "\uff54\uff4f\uff4b\uff45\uff4e=1").when(n == 4, "%ZZ=1").otherwise("p%61ge=1"))
+    ref = F.create_map(F.lit("path"), F.concat(F.lit("https://store.example.org/x?"), part))
+    return X.safe_resource_ref(table(spark, sf, "pages").select("page_id", ref.alias("ref")), "ref").select("page_id", "ref_problem")
+
+
 @query("wkt_geometries", """select o_orderkey, case when o_orderkey % 6 = 3 or o_orderkey % 6 = 5 then null when o_orderkey % 6 = 4 then 'polygon' when o_orderkey % 6 < 2 then 'point' else 'linestring' end as type,
   case when o_orderkey % 6 = 3 or o_orderkey % 6 = 5 then null when o_orderkey % 6 = 4 then 4 when o_orderkey % 6 < 2 then 1 else 2 end as positions from orders""")
 def wkt_geometries(spark, sf):
