@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,11 +24,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared folder: later steps survive lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    path = f"{_scratch.get() or shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_scratch: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` returns, written; the tables that it wrote on the way are deleted after that."""
+    folder = f"{_scratch.get() or shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(folder)
+    try:
+        made = build()
+        _scratch.reset(token)
+        token = None
+        return written(made)
+    finally:
+        if token is not None:
+            _scratch.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        # A folder that cannot be deleted costs disk, not the result.
+        with contextlib.suppress(Exception):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def extra_columns_dropped(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns never clash with those that an operator adds."""
     return df.select(*[df[n] for n in names])
