@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Key and value patterns of secrets, and the span attributes that may leave a service.
 SECRET_KEY = (r"(?i)(?:authorization|cookie|password|passwd|secret|token|api[-_]?key|private[-_]?key"
@@ -25,24 +28,38 @@ def redact_text(col: Column, limit: int | None = None) -> Column:
     return text if limit is None else F.substring(text, 1, limit)
 
 
+def _is_secret(name: str) -> bool:
+    return re.search(SECRET_KEY, name) is not None
+
+
+def redact_value(col: Column, kind: T.DataType, secret: Column | bool = False) -> Column:
+    """A value of any type with every text in it redacted, found by walking its type.
+
+    Below a secret name (of a struct field or a map key, which array items and inner values inherit) texts read
+    ``[REDACTED]`` and other plain values become null, as a column keeps its type.
+    """
+    hidden = secret if isinstance(secret, Column) else F.lit(secret)
+    if isinstance(kind, T.StringType):
+        return F.when(col.isNotNull() & hidden, F.lit(REDACTED)).otherwise(redact_text(col))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: redact_value(x, kind.elementType, secret))
+    if isinstance(kind, T.StructType):
+        fields = [redact_value(col[f.name], f.dataType, True if _is_secret(f.name) else secret).alias(f.name) for f in kind.fields]
+        return F.when(col.isNotNull(), F.struct(*fields)) if fields else col
+    if isinstance(kind, T.MapType):
+        named = lambda k: F.regexp_like(k, F.lit(SECRET_KEY)) if isinstance(kind.keyType, T.StringType) else F.lit(False)
+        return F.transform_values(col, lambda k, v: redact_value(v, kind.valueType, hidden | named(k)))
+    return col if secret is False else F.when(~hidden, col)
+
+
 def redact_map(col: Column) -> Column:
-    return F.transform_values(col, lambda k, v: F.when(
-        F.regexp_like(k, F.lit(SECRET_KEY)), F.lit(REDACTED)).otherwise(redact_text(v)))
+    return redact_value(col, T.MapType(T.StringType(), T.StringType()))
 
 
 def redact(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Redact text and text-map columns; a column whose own name is secret is blanked whole."""
-    import re
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    changes = {}
-    for c in cols:
-        if types[c].startswith("map"):
-            changes[c] = redact_map(F.col(c))
-        elif re.search(SECRET_KEY, c):
-            changes[c] = F.when(F.col(c).isNotNull(), F.lit(REDACTED))
-        else:
-            changes[c] = redact_text(F.col(c))
-    return df.withColumns(changes)
+    """Redact columns of texts, arrays, structs and maps, nested as they come; a column whose own name is secret
+    is blanked whole."""
+    return df.withColumns({c: redact_value(F.col(c), df.schema[c].dataType, _is_secret(c)) for c in cols})
 
 
 def tenant_bucket(col: Column, salt: str, n: int = 64) -> Column:

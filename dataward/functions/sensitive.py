@@ -85,17 +85,18 @@ def sensitive_kinds(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def scan_nested_secrets(df: DataFrame, json_col: str, keys: list[str], max_depth: int = 32) -> DataFrame:
-    """Findings in nested JSON of any shape: forbidden key names, secret values, too much depth.
+    """Findings in nested JSON of any shape: forbidden key names, secret values, too much depth, text that is no JSON.
 
     Each level explodes the objects and arrays of the level before; the loop ends when a level holds
     no containers, which one existence check per level decides.
     """
     spark = df.sparkSession
-    level = df.select(*keys, F.lit("record").alias("path"), F.try_parse_json(json_col).alias("v"))
-    found = []
+    level = df.select(*keys, F.lit("record").alias("path"), F.try_parse_json(json_col).alias("_v"))
+    found = [df.where(F.col(json_col).isNotNull() & F.try_parse_json(json_col).isNull()).select(
+        *keys, F.lit("record").alias("path"), F.lit("INPUT_NOT_JSON").alias("code"))]
     for depth in range(max_depth + 1):
-        text = F.try_variant_get("v", "$", "string")
-        kind = F.schema_of_variant("v")
+        text = F.try_variant_get("_v", "$", "string")
+        kind = F.schema_of_variant("_v")
         leaf = ~kind.rlike("^(?:OBJECT|ARRAY)")
         found.append(level.where(leaf & F.coalesce(matches_any(text, EVENT_SECRETS), F.lit(False)))
                      .select(*keys, "path", F.lit("INLINE_SECRET_VALUE").alias("code")))
@@ -106,13 +107,13 @@ def scan_nested_secrets(df: DataFrame, json_col: str, keys: list[str], max_depth
         if nested.limit(1).isEmpty():
             break
         nested.createOrReplaceTempView("_nested_level")
-        step = spark.sql(f"select {', '.join(keys)}, path, t.key as k, t.pos as pos, t.value as v "
-                         "from _nested_level, lateral variant_explode(v) as t")
-        named = F.lower(F.regexp_replace("k", "[-_]", "")).isin(*FORBIDDEN_KEYS)
-        level = step.select(*keys, F.when(F.col("k").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-                            .otherwise(F.concat_ws(".", "path", "k")).alias("path"), "k", "v")
+        step = spark.sql(f"select {', '.join(f'`{k}`' for k in keys)}, path, t.key as _k, t.pos as _pos, t.value as _v "
+                         "from _nested_level, lateral variant_explode(_v) as t")
+        named = F.lower(F.regexp_replace("_k", "[-_]", "")).isin(*FORBIDDEN_KEYS)
+        level = step.select(*keys, F.when(F.col("_k").isNull(), F.concat("path", F.lit("["), F.col("_pos").cast("string"), F.lit("]")))
+                            .otherwise(F.concat_ws(".", "path", "_k")).alias("path"), "_k", "_v")
         found.append(level.where(F.coalesce(named, F.lit(False))).select(*keys, "path", F.lit("INLINE_SECRET_FIELD").alias("code")))
-        level = level.drop("k")
+        level = level.drop("_k")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -26,8 +26,12 @@ def _first(*rules: tuple[Column, str]) -> Column:
     return out
 
 
-def _prefixed(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
-    return df.select(*keys, *[F.col(c).alias(prefix + c) for c in df.columns if c not in keys])
+def _one_per_key(registry: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """One row for each key of a registry: its columns under ``prefix``, and how many rows have it (``{prefix}hit``).
+    A key that repeats decides nothing, so it meets every request once, with any of its rows."""
+    rest = [c for c in registry.columns if c not in keys]
+    grouped = registry.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{prefix}hit"), F.any_value(F.struct(*rest)).alias("_row"))
+    return grouped.select(*keys, f"{prefix}hit", *[F.col("_row")[c].alias(prefix + c) for c in rest])
 
 
 APPROVAL_KEYS = ["source_system_id", "record_id", "resource_version"]
@@ -37,13 +41,14 @@ def resolve_approvals(df: DataFrame, approvals: DataFrame, now) -> DataFrame:
     """Approval of each (source, record, version, digest) at ``now``; both interval ends count.
 
     Adds approval_status, approval_reason, next_evaluation_at, catalog_visibility,
-    offering_decision, approval_id and valid_until. An unverified approval reads as internal/pending.
+    offering_decision, approval_id and valid_until. An unverified approval reads as internal/pending,
+    and so does a key that the registry holds more than once.
     """
     clock = at_instant(now)
-    a = _prefixed(approvals.withColumn("hit", F.lit(True)), "_a_", APPROVAL_KEYS)
+    a = _one_per_key(approvals, APPROVAL_KEYS, "_a_")
     joined = df.join(a, APPROVAL_KEYS, "left").withColumn("_now", clock)
     reason = _first(
-        (F.col("_a_hit").isNull(), "APPROVAL_ENTRY_MISSING"),
+        (F.col("_a_hit").isNull(), "APPROVAL_ENTRY_MISSING"), (F.col("_a_hit") > 1, "DUPLICATE_APPROVAL_ENTRY"),
         (~F.col("record_digest").eqNullSafe(F.col("_a_record_digest")), "APPROVED_DIGEST_MISMATCH"),
         (F.col("_now") < F.col("_a_approved_at"), "APPROVAL_NOT_YET_VALID"),
         (F.col("_now") > F.col("_a_valid_until"), "APPROVAL_EXPIRED"))
@@ -77,12 +82,13 @@ def approval_registry_findings(approvals: DataFrame, evidence_limit: int = 200)
 def dispatch_gate(envelopes: DataFrame, approvals: DataFrame, now) -> DataFrame:
     """May a command leave? Source binding, half-open validity and payload digest must all hold."""
     clock = at_instant(now)
-    a = _prefixed(approvals.withColumn("hit", F.lit(True)), "_a_", ["approval_id"])
+    a = _one_per_key(approvals, ["approval_id"], "_a_")
     joined = envelopes.join(a, ["approval_id"], "left")
     bound = ((F.col("_a_source_system_id") == F.col("source_system_id"))
              & (F.col("_a_record_id") == F.col("record_id"))
              & (F.col("_a_resource_version") == F.col("resource_version")))
     reason = _first(
+        (F.col("_a_hit") > 1, "DUPLICATE_APPROVAL_ID"),
         (~F.col("automatic_dispatch_allowed") | (F.col("routing") != "production-connector")
          | F.col("approval_id").isNull() | F.col("_a_hit").isNull()
          | (F.col("_a_status") != "approved"), "DISPATCH_APPROVAL_REQUIRED"),
@@ -195,7 +201,7 @@ def verify_memberships(participants: DataFrame, decisions: DataFrame, now, regis
     issued, until = at_instant(registry["issued_at"]), at_instant(registry["valid_until"])
     fresh = ((issued <= clock) & (clock <= until)
              & (seconds_between(clock, issued) <= registry["max_age_seconds"]))
-    d = _prefixed(decisions.withColumn("hit", F.lit(True)), "_d_", ["decision_id"])
+    d = _one_per_key(decisions, ["decision_id"], "_d_")
     bound = ["dataspace_id", "participant_id", "organization_id", "evidence_sha256"]
     same = F.lit(True)
     for c in bound:
@@ -203,7 +209,7 @@ def verify_memberships(participants: DataFrame, decisions: DataFrame, now, regis
     reason = _first(
         (F.lit(registry["status"] != "READY"), "EXTERNAL_APPROVAL_GATE_BLOCKED"),
         (~fresh, "APPROVAL_REGISTRY_STALE"),
-        (F.col("_d_hit").isNull(), "APPROVAL_DECISION_NOT_TRUSTED"),
+        (F.col("_d_hit").isNull(), "APPROVAL_DECISION_NOT_TRUSTED"), (F.col("_d_hit") > 1, "APPROVAL_REGISTRY_DUPLICATE"),
         (F.col("_d_status") != "APPROVED", "APPROVAL_DECISION_NOT_APPROVED"),
         (~same, "APPROVAL_DECISION_MISMATCH"),
         ((F.col("_d_decided_at") > clock) | (F.col("_d_valid_until") < clock), "APPROVAL_DECISION_EXPIRED"))
@@ -211,7 +217,7 @@ def verify_memberships(participants: DataFrame, decisions: DataFrame, now, regis
 
 
 def service_status(spaces: DataFrame, services: DataFrame, now, registry: dict) -> DataFrame:
-    """Status of each required service of each space: MISSING, STALE or the reported one."""
+    """Status of each required service of each space: MISSING, DUPLICATE, STALE or the reported one."""
     clock = at_instant(now)
     issued, until = at_instant(registry["issued_at"]), at_instant(registry["valid_until"])
     limit = registry["max_age_seconds"]
@@ -219,9 +225,11 @@ def service_status(spaces: DataFrame, services: DataFrame, now, registry: dict)
     seen = F.col("observed_at")
     current = fresh & (seen <= clock) & (seconds_between(clock, seen) <= limit) & (seen <= until)
     wanted = spaces.select("space_id", F.explode("required_service_ids").alias("service_id"))
-    joined = wanted.join(services.select("service_id", "status", "observed_at"), "service_id", "left")
-    return joined.withColumn("effective_status", F.when(F.col("status").isNull(), "MISSING")
-                             .when(F.coalesce(current, F.lit(False)), F.col("status")).otherwise("STALE"))
+    known = _one_per_key(services.select("service_id", "status", "observed_at"), ["service_id"], "_s_").select(
+        "service_id", F.col("_s_hit").alias("_hit"), F.col("_s_status").alias("status"), F.col("_s_observed_at").alias("observed_at"))
+    joined = wanted.join(known, "service_id", "left")
+    return joined.withColumn("effective_status", F.when(F.col("_hit") > 1, "DUPLICATE").when(F.col("status").isNull(), "MISSING")
+                             .when(F.coalesce(current, F.lit(False)), F.col("status")).otherwise("STALE")).drop("_hit")
 
 
 def service_readiness(spaces: DataFrame, services: DataFrame, now, registry: dict) -> DataFrame:
@@ -236,11 +244,13 @@ def service_readiness(spaces: DataFrame, services: DataFrame, now, registry: dic
 
 
 def resolve_bindings(requests: DataFrame, bindings: DataFrame, require_enabled: bool = True) -> DataFrame:
-    """Binding of (dataset, format); without an enabled one the request has no binding."""
+    """Binding of (dataset, format); without an enabled one, or with several, the request has no binding."""
     usable = bindings.where(F.col("enabled")) if require_enabled else bindings
-    keyed = usable.select("dataset_id", "format", "binding_id", "provisioner_id")
-    return (requests.join(keyed, ["dataset_id", "format"], "left")
-            .withColumn("error", F.when(F.col("binding_id").isNull(), "TRANSFER_BINDING_NOT_FOUND")))
+    keyed = _one_per_key(usable.select("dataset_id", "format", "binding_id", "provisioner_id"), ["dataset_id", "format"], "_b_")
+    single = lambda c: F.when(F.col("_b_hit") == 1, F.col(f"_b_{c}")).alias(c)
+    joined = requests.join(keyed, ["dataset_id", "format"], "left")
+    return joined.select(*requests.columns, single("binding_id"), single("provisioner_id"), F.when(
+        F.col("_b_hit") > 1, "DUPLICATE_TRANSFER_BINDING").when(F.col("_b_binding_id").isNull(), "TRANSFER_BINDING_NOT_FOUND").alias("error"))
 
 
 def orphans(deployed: DataFrame, registered: DataFrame, keys: list[str]) -> DataFrame:
