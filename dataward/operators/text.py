@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from dataward.functions.barrier import once
 from dataward.functions.unicode import nfkc, nfkd
 
+# Line forms, metadata labels, acronyms that need no definition, the suppression mark, and the headings and
+# lines that quote text in order to criticise it.
 FENCE = r"^ {0,3}(`{3,}|~{3,})(.*)$"
 HEADING = r"^ {0,3}(#{1,6})(?:[ \t]+(.*)|[ \t]*)$"
 LIST = r"^(\s*)([-+*]|\d+\.)\s+(.+)$"
@@ -22,12 +24,15 @@ METADATA = r"(?i)^(?:작성일|작성 기준|기준일|상태|단계|작성자|
 LINK_DEFINITION = r"^\s*\[[^\]]+\]:\s+\S"
 TABLE_DELIMITER = r"^\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$"
 SKIPPED = ("table", "blockquote", "comment", "metadata", "link-definition", "code", "blank", "fence", "front-matter", "heading-underline")
-ACRONYM = r"\b[A-Z][A-Z0-9]*(?:-[A-Z0-9]+)*\b"
+# Word bounds are those of ASCII words; the engine's own bounds depend on its version.
+ACRONYM = r"(?<![A-Za-z0-9_])[A-Z][A-Z0-9]*(?:-[A-Z0-9]+)*(?![A-Za-z0-9_])"
 # A name starts where its run of letters starts, so a line is read once however long it is.
 DEFINITION = (r"(?:(?<![A-Za-z0-9\s-])[0-9\s-]*+[A-Za-z][A-Za-z0-9\s-]{2,}+\(([A-Z][A-Z0-9-]{1,9})\)"
               r"|\([^()]{2,}?,\s*([A-Z][A-Z0-9-]{1,9})\))")
 IDENTIFIER = (r"^(?:(?:SRC|ADR|REQ|OPEN|C|T)-[A-Z0-9-]+|[PGL]\d+|H[1-6]|[A-Z]|I{1,3}|IV|V|VI{0,3}|IX|X|AGREED|VERIFIED|FINALIZED|ERROR|MUST"
               r"|GET|POST|PUT|PATCH|DELETE|AS-IS|TO-BE)$")
+QUOTED_SECTION = r"(?:금지(?:할)?(?: 기술)? (?:설명|문장|주장|표현)|나쁜 예|교체 전|원문 인용)"
+QUOTED_LINE = r"(?:대상 문장|금지 주장|원문 인용|나쁨|교체 전)\s*:"
 SUPPRESSION = r"<!--\s*report-style-disable-next-line\s+([A-Z0-9,-]+)\s*:\s*(.+?)\s*-->"
 
 
@@ -78,7 +83,9 @@ def line_types(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """Lines with type, heading level and text, list marker, indent and content, and skip flag.
 
     Spans that need state are folded once per document; everything else looks at a line and its
-    neighbours.
+    neighbours. A heading that announces quoted text opens a section, in which only headings are not skipped, up
+    to the next heading of its level or above; a later such heading takes its place. So a line is quoted if all
+    headings since the last such heading lie deeper: two running values over the lines.
     """
     clean = F.regexp_replace(F.regexp_replace(text, "^﻿", ""), r"\r\n?", "\n")
     whole = once(docs.select(key, F.split(clean, "\n", -1).alias("_lines")), {"_spans": _spans(F.col("_lines"))})
@@ -118,12 +125,19 @@ def line_types(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     heading = F.trim(mask_inline(F.when(F.col("_atx"), F.regexp_replace(F.regexp_extract("raw", HEADING, 2), r"[ \t]+#+[ \t]*$", "")).otherwise(trimmed)))
     out = once(rows, {"type": kind})
     is_head, listed = F.col("type") == "heading", F.col("type") == "list"
+    out = out.withColumns({"_level": F.when(is_head, level), "_head": F.when(is_head, heading), "masked": F.trim(mask_inline(raw))})
+    out = out.withColumn("_quotes", F.col("_head").rlike(QUOTED_SECTION))
+    mark = F.last(F.when(F.col("_quotes"), F.struct(F.col("_i").alias("at"), F.col("_level").alias("level"))), ignorenulls=True)
+    out = out.withColumn("_section", mark.over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumns({"_at": F.col("_section.at"), "_top": F.col("_section.level")})
+    since = Window.partitionBy(key, "_at").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("_least", F.min(F.when(~F.col("_quotes"), F.col("_level"))).over(since))
+    quoted = F.coalesce((F.coalesce("_least", F.lit(7)) > F.col("_top")) & ~is_head, F.lit(False))
     return out.select(
-        key, (F.col("_i") + 1).alias("line_no"), "raw", "type", F.when(is_head, level).alias("heading_level"), F.when(is_head, heading).alias("heading_text"),
+        key, (F.col("_i") + 1).alias("line_no"), "raw", "type", F.col("_level").alias("heading_level"), F.col("_head").alias("heading_text"),
         F.when(listed, F.when(is_list, F.regexp_extract("raw", LIST, 2)).otherwise(F.regexp_extract("raw", REPORT_MARKER, 1))).alias("list_marker"),
         F.when(listed, F.when(is_list, F.length(F.regexp_extract("raw", LIST, 1))).otherwise(0)).alias("list_indent"),
         F.when(listed, F.trim(mask_inline(F.when(is_list, F.regexp_extract("raw", LIST, 3)).otherwise(F.regexp_extract("raw", REPORT_MARKER, 2))))).alias("list_content"),
-        F.trim(mask_inline(raw)).alias("masked"), F.col("type").isin(*SKIPPED).alias("skip"))
+        "masked", (F.col("type").isin(*SKIPPED) | quoted | F.col("masked").rlike(QUOTED_LINE)).alias("skip"))
 
 
 def visible_text(lines: DataFrame) -> Column:
