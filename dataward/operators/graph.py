@@ -331,6 +331,20 @@ def rdf_list(q: DataFrame) -> tuple[DataFrame, DataFrame]:
     Faults: LIST_CARDINALITY (not one first and one rest), LIST_CYCLE (the cell lies on a cycle or leads to one;
     its lists have no members), LIST_OPEN (the rest is neither another cell nor nil; members up to there stay).
     """
+    rows, faults = list_rows(q)
+    return rows.drop("cell"), faults
+
+
+def whole_lists(q: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, heads): as ``rdf_list``, without lists that hold a faulty cell; heads as graph, head."""
+    rows, faults = list_rows(q)
+    bad = rows.join(faults.select("graph", "cell").distinct(), ["graph", "cell"], "left_semi").select("graph", "head").distinct()
+    members = cut_lineage(rows.drop("cell").join(bad, ["graph", "head"], "left_anti"))
+    return members, members.select("graph", "head").distinct()
+
+
+def list_rows(q: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``rdf_list`` with their cell, and its faults."""
     cells = cut_lineage(q.where(F.col("p").isin(RDF + "first", RDF + "rest")).groupBy("graph", "s").agg(
         F.count_if(F.col("p") == RDF + "first").alias("_firsts"), F.count_if(F.col("p") == RDF + "rest").alias("_rests"),
         F.max(F.when(F.col("p") == RDF + "first", F.struct("o", "o_kind"))).alias("_first"),
@@ -360,7 +374,7 @@ def rdf_list(q: DataFrame) -> tuple[DataFrame, DataFrame]:
         step = rows.join(jump, ["graph", "cell"]).select("graph", F.col("to").alias("cell"), "head", (F.col("pos") + (1 << k)).alias("pos"))
         rows = cut_lineage(rows.unionByName(step))
     members = rows.join(cells.select("graph", F.col("s").alias("cell"), "_first"), ["graph", "cell"]).select(
-        "graph", "head", "pos", F.col("_first.o").alias("value"), F.col("_first.o_kind").alias("value_kind"))
+        "graph", "head", "cell", "pos", F.col("_first.o").alias("value"), F.col("_first.o_kind").alias("value_kind"))
     return members, broken.unionByName(cyclic).unionByName(open_)
 
 

@@ -7,7 +7,7 @@ import importlib
 from dataward.plans.registry import QUERIES, SQL
 
 _MODULES = ["usage", "registries", "slo", "ledger", "snapshots", "sync", "graph", "constraints",
-            "graph_rules", "text", "report", "feeds", "streams"]
+            "graph_rules", "text", "report", "requirements", "feeds", "streams"]
 
 
 def _load() -> None:
