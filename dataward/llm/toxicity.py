@@ -1,12 +1,16 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 Terms are the words of a text (ASCII digits and letters, A-Z lower-cased, and bytes above ASCII) and their
-first three and four bytes, hashed to 2^18 places; each counts once. Of these the fitted machine keeps the
-telling ones; it adds a weight for every term and the products of hidden factors for every pair, so that a
-pair can count more or less than its terms alone.
+first three and four bytes, hashed to 2^18 places; each counts once. The machine adds a weight for every term and
+the products of hidden factors for every pair, so that a pair can count more or less than its terms alone.
+
+It is fitted on telling terms: first those that toxic and other rows hold at different shares, then, again and again,
+those that the toxic rows it still misses hold at other shares than rows that are not toxic. Terms that are toxic only
+together stand out there, however common each is alone.
 
 Defined cases: null and empty texts score the bias; label rows without a document or a mark teach nothing,
-several marks of one id count as the largest; a repeated document counts each time; with no labels, or only
+several marks of one id count as the largest; a repeated document counts each time, within the bound of the
+sample; with no labels, or only
 one kind, every text scores the share of toxic rows (0.5 with none).
 """
 
@@ -39,6 +43,7 @@ class Machine:
     decay: float = 1e-4
     evidence: float = 4.0
     least_rows: int = 3
+    rounds: int = 3
     threshold: float = 0.3
 
 
@@ -77,26 +82,43 @@ class Fitted:
         return out
 
 
-def _telling(lists: list[np.ndarray], marks: np.ndarray, spec: Machine) -> np.ndarray:
-    """Which terms stand in toxic and other rows at shares that differ by ``evidence`` standard errors."""
-    size = 1 << spec.bits
-    one, two = (np.bincount(np.concatenate([lists[i] for i in np.flatnonzero(marks == m)]), minlength=size) for m in (1, 0))
-    a, b = int((marks == 1).sum()), int((marks == 0).sum())
-    share = (one + two) / (a + b)
-    error = np.sqrt(share * (1 - share) * (1 / a + 1 / b))
-    return (one + two >= spec.least_rows) & (np.abs(one / a - two / b) >= spec.evidence * np.maximum(error, 1e-12))
+def _telling(lists: list[np.ndarray], one: np.ndarray, two: np.ndarray, spec: Machine, least_one: int = 0) -> np.ndarray:
+    """Which terms, held by ``least_rows`` rows and ``least_one`` of ``one``, do the rows ``one`` and ``two`` hold at shares
+    that differ by ``evidence`` standard errors?"""
+    a, b = (np.bincount(np.concatenate([lists[i] for i in rows]), minlength=1 << spec.bits) for rows in (one, two))
+    share = (a + b) / (len(one) + len(two))
+    error = np.sqrt(share * (1 - share) * (1 / len(one) + 1 / len(two)))
+    return (a + b >= spec.least_rows) & (a >= least_one) & (np.abs(a / len(one) - b / len(two)) >= spec.evidence * np.maximum(error, 1e-12))
 
 
 def fit(lists: list[np.ndarray], marks: np.ndarray, spec: Machine) -> Fitted:
-    """Fit by AdaGrad on the log loss, rows in a fixed shuffled order."""
+    """Fit on telling terms, then on these and what the missed toxic rows add, at most ``rounds`` times."""
+    toxic, other = np.flatnonzero(marks == 1), np.flatnonzero(marks == 0)
+    if not len(toxic) or not len(other):
+        share = float(np.clip(marks.mean(), 1e-3, 1 - 1e-3)) if len(marks) else 0.5
+        return Fitted(float(np.log(share / (1 - share))), np.zeros(1 << spec.bits), np.zeros((1 << spec.bits, spec.factors)))
+    kept = _telling(lists, toxic, other, spec)
+    for left in reversed(range(spec.rounds)):
+        machine = _descend(lists, marks, kept, spec)
+        score = 1 / (1 + np.exp(-np.clip(machine.logits([lists[i] for i in toxic]), -30, 30)))
+        missed = toxic[score < spec.threshold]
+        if not left or len(missed) < spec.least_rows:
+            break
+        # Of few missed rows every rare word stands out; it must recur among them.
+        more = kept | _telling(lists, missed, other, spec, spec.least_rows)
+        if (more == kept).all():
+            break
+        kept = more
+    return machine
+
+
+def _descend(lists: list[np.ndarray], marks: np.ndarray, kept: np.ndarray, spec: Machine) -> Fitted:
+    """Fit the ``kept`` terms by AdaGrad on the log loss, rows in a fixed shuffled order."""
     rng = np.random.default_rng(7)
     size = 1 << spec.bits
-    share = float(np.clip(marks.mean(), 1e-3, 1 - 1e-3)) if len(marks) else 0.5
+    share = float(np.clip(marks.mean(), 1e-3, 1 - 1e-3))
     bias = float(np.log(share / (1 - share)))
     weight = np.zeros(size)
-    if len(np.unique(marks)) < 2:
-        return Fitted(bias, weight, np.zeros((size, spec.factors)))
-    kept = _telling(lists, marks, spec)
     lists = [x[kept[x]] for x in lists]
     factor = rng.normal(0, 0.01, (size, spec.factors)) * kept[:, None]
     seen_w, seen_v, seen_b = np.full(size, 1e-2), np.full((size, spec.factors), 1e-2), 1e-2
@@ -129,7 +151,9 @@ def learned(docs: DataFrame, labels: DataFrame, spec: Machine = Machine()) -> Fi
     marks = extra_columns_dropped(labels, "doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id", 4, 2))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(spec.sample)
     # At most ``sample`` pairs of numbers: small enough to send to every task.
-    rows = extra_columns_dropped(docs, "doc_id", "text").join(F.broadcast(marks), "doc_id").select("toxic", "text")
+    rows = extra_columns_dropped(docs, "doc_id", "text").join(F.broadcast(marks), "doc_id")
+    # Documents of one id beyond the bound would exceed it: again the least hashes are taken, now of the texts.
+    rows = rows.orderBy(F.xxhash64("doc_id", "text"), "text").limit(spec.sample).select("toxic", "text")
     found = rows.mapInArrow(_terms(spec.bits), "toxic int, terms array<int>").toArrow()
     lists = [x.values.to_numpy() for x in found.column("terms").combine_chunks()] if found.num_rows else []
     order = sorted(range(len(lists)), key=lambda i: lists[i].tobytes())  # tasks end in any order

@@ -18,7 +18,7 @@ from dataward.llm.minhash_dedup import near_duplicates
 from dataward.llm.packing import SumOfSquares, WordTokenizer, packed
 from dataward.llm.paragraph_dedup import repeated_paragraphs
 from dataward.llm.suffix_dedup import repeated_passages
-from dataward.llm.toxicity import toxicity
+from dataward.llm.toxicity import Machine, fit, term_lists, toxicity
 
 SF = "/root/testdata/sf0.001"
 # Further columns with names that operators use themselves.
@@ -205,6 +205,28 @@ def test_toxicity_held_out(spark, odd, nothing):
     assert {round(r["score"], 3) for r in toxicity(odd[0], labels.where("doc_id < 0")).collect()} == {0.5}
 
 
+def test_toxicity_of_pairs():
+    """Two common words that are toxic only together, next to insults that are toxic alone."""
+    rnd, rows, marks, pair = random.Random(5), [], [], []
+    for i in range(10_000):
+        w, u, v = words(rnd.randint(20, 40), i).split(), rnd.random(), rnd.random()
+        both = 0.1 <= u < (0.1025 if i < 8000 else 0.13)
+        w += ["zzinsult"] if u < 0.1 else []
+        w += ["qqgroup", "qqverb"] if both else ["qqgroup"] if v < 0.05 else ["qqverb"] if v < 0.1 else []
+        rnd.shuffle(w)
+        rows.append(" ".join(w))
+        marks.append(float(u < 0.1 or both))
+        pair.append(both)
+    data = [x.encode() for x in rows]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in data])])
+    lists = term_lists(np.frombuffer(b"".join(data), np.uint8), bounds, Machine.bits)
+    machine = fit(lists[:8000], np.array(marks[:8000]), Machine())
+    found = machine.logits(lists[8000:]) >= np.log(0.3 / 0.7)
+    assert sum(pair[:8000]) < 40 and sum(pair[8000:]) > 30
+    assert found[np.array(pair[8000:])].mean() > 0.9
+    assert found[np.array(marks[8000:]) == 0].mean() < 0.01
+
+
 @pytest.mark.parametrize("operator", [repeated_passages, repeated_paragraphs])
 def test_passages_are_caught_and_clean_documents_left(spark, operator, odd, nothing):
     passage, line = words(60, 77), words(80, 78)
