@@ -59,10 +59,10 @@ def term_lists(data: np.ndarray, bounds: np.ndarray, bits: int) -> list[np.ndarr
 def _terms(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, bounds in arrays.text_slices(batch.column(1)):
+            for low, high, data, bounds in arrays.text_slices(batch.column(2)):
                 lists = term_lists(data, bounds, bits)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(low, high - low), arrays.list_array(np.concatenate(lists), [len(x) for x in lists])], ["toxic", "terms"])
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(low, high - low) for k in (0, 1)] + [
+                    arrays.list_array(np.concatenate(lists), [len(x) for x in lists])], ["place", "toxic", "terms"])
 
     return run
 
@@ -152,9 +152,9 @@ def learned(docs: DataFrame, labels: DataFrame, spec: Machine = Machine()) -> Fi
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(spec.sample)
     # At most ``sample`` pairs of numbers: small enough to send to every task.
     rows = extra_columns_dropped(docs, "doc_id", "text").join(F.broadcast(marks), "doc_id")
-    # Documents of one id beyond the bound would exceed it: again the least hashes are taken, now of the texts.
-    rows = rows.orderBy(F.xxhash64("doc_id", "text"), "text").limit(spec.sample).select("toxic", "text")
-    found = rows.mapInArrow(_terms(spec.bits), "toxic int, terms array<int>").toArrow()
+    terms = rows.select(F.xxhash64("doc_id", "text"), "toxic", "text").mapInArrow(_terms(spec.bits), "place long, toxic int, terms array<int>")
+    # Many documents of one id would exceed the bound: again the least hashes are taken, now over terms, not whole texts.
+    found = terms.orderBy("place", "toxic", "terms").limit(spec.sample).toArrow()
     lists = [x.values.to_numpy() for x in found.column("terms").combine_chunks()] if found.num_rows else []
     order = sorted(range(len(lists)), key=lambda i: lists[i].tobytes())  # tasks end in any order
     marks = np.array(found.column("toxic").to_pylist(), dtype=np.float64)
