@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from dataward.operators import graph as G
 from dataward.operators import graph_rules as R
+from dataward.operators.offering import validate_events
+from dataward.plans import streams
+from dataward.sources.feeds import EVENT_SCHEMA
 
 POLICY = {"hosts": ["data.example.org"], "stable_hosts": ["data.example.org"], "max_values": 2, "max_literal_length": 40, "profile_iri": "https://data.example.org/profile/main"}
 
@@ -43,3 +46,16 @@ def test_reach_pairs_rounds_do_not_grow_with_the_number_of_branchings(spark, mon
     assert len(calls) < 40
     rows = [(r["start"], r["node"]) for r in got.collect()]
     assert set(rows) == want and len(rows) == len(want)
+
+
+def test_event_validation_shuffles_no_record(spark, folder):
+    line = F.concat(F.lit('{"batch_id": "b", "event_id": "e'), F.greatest(F.col("id"), F.lit(1)).cast("string"), F.lit('"}'))
+    spark.range(3).select(F.from_json(line, EVENT_SCHEMA).alias("e")).select("e.*").write.parquet(f"{folder}/events")
+    got = validate_events(spark.read.parquet(f"{folder}/events"))
+    assert "Exchange hashpartitioning" not in plan(got)
+    assert sorted((r["event_id"], "DUPLICATE_EVENT_IN_BATCH" in r["errors"]) for r in got.collect()) == [("e1", True), ("e1", True), ("e2", False)]
+
+
+def test_large_batches_of_a_feed_have_many_files(spark):
+    folder = streams._feed(spark.range(2 * streams._LINES + 1).coalesce(1).select("id", F.lit(0).alias("b")), "b")
+    assert spark.read.text(f"{folder}/feed").select(F.input_file_name()).distinct().count() == 3
