@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataward.functions.lineage import cut_lineage
+from dataward.functions.lineage import stored
 from dataward.operators.graph import RDF, RDF_TYPE, whole_lists
 
 # The shape vocabulary, and the predicates that a shape may have without constraining anything itself.
@@ -27,18 +27,18 @@ def fold_up(parts: DataFrame, combine: Callable[[Column, Column], Column]) -> tu
     ``parts``: graph, node, kind, pos, child, value; the value is null where it is that of the node ``child``. ``combine``
     takes the kind and the values in order of pos. A round settles a level; nodes on cycles, or above them, stay open.
     """
-    left = cut_lineage(parts)
+    left = stored(parts)
     done = None
     while True:
         whole = left.groupBy("graph", "node", "kind").agg(F.count(F.lit(1)).alias("_n"), F.count("value").alias("_k"),
                                                           F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_parts")).where("_n = _k")
-        fresh = cut_lineage(whole.select("graph", "node", combine(F.col("kind"), F.col("_parts.value")).alias("value")))
+        fresh = stored(whole.select("graph", "node", combine(F.col("kind"), F.col("_parts.value")).alias("value")))
         done = fresh if done is None else done.unionByName(fresh)
         if fresh.isEmpty():
             return done, left
         known = fresh.select("graph", F.col("node").alias("child"), F.col("value").alias("_v"))
         rest = left.join(fresh.select("graph", "node"), ["graph", "node"], "left_anti").join(known, ["graph", "child"], "left")
-        left = cut_lineage(rest.select("graph", "node", "kind", "pos", "child", F.coalesce("value", "_v").alias("value")))
+        left = stored(rest.select("graph", "node", "kind", "pos", "child", F.coalesce("value", "_v").alias("value")))
 
 
 def path_texts(q: DataFrame, lists: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -89,11 +89,11 @@ def path_texts(q: DataFrame, lists: tuple[DataFrame, DataFrame] | None = None) -
 
 def _on_loop(parts: DataFrame) -> DataFrame:
     """(graph, node) of open parts that lie on a loop, or between loops: those that no open node above leads out of."""
-    edges = cut_lineage(parts.where("value is null").select("graph", "node", "child").distinct())
+    edges = stored(parts.where("value is null").select("graph", "node", "child").distinct())
     while True:
         # A node that nothing points to is above the loops only.
         low = edges.select("graph", F.col("child").alias("node")).distinct()
-        kept = cut_lineage(edges.join(low, ["graph", "node"], "left_semi"))
+        kept = stored(edges.join(low, ["graph", "node"], "left_semi"))
         if kept.count() == edges.count():
             return edges.select("graph", "node").distinct()
         edges = kept
@@ -110,6 +110,8 @@ def shape_requirements(q: DataFrame, namespace: str, requirement_id: str) -> Dat
     the property shapes below counts, a null being a violation, and without those a violation. Counts need one plain
     whole number, or they are null. Loops of property shapes have no severity.
     """
+    # Statements are made and read once, and every join is planned by the size that rows really have.
+    q = stored(q)
     sh = lambda *names: F.col("p").isin([SH + n for n in names])
     iri = F.col("o_kind") == "iri"
     term = F.struct("o", "o_kind")
@@ -126,10 +128,10 @@ def shape_requirements(q: DataFrame, namespace: str, requirement_id: str) -> Dat
     safe = lambda c: F.when(c <= 9007199254740991, c)
     node = node.withColumns({"minimum": safe(whole_number(F.col("mins"))), "maximum": safe(whole_number(F.col("maxs")))})
     shaped = F.array_contains("types", SH + "NodeShape"), F.array_contains("types", SH + "PropertyShape")
-    node = cut_lineage(node.withColumns({
+    node = stored(node.withColumns({
         "root": (F.col("s_kind") == "iri") & F.col("s").startswith(namespace) & (shaped[0] | shaped[1] | F.col("targets")),
         "container": shaped[0] & ~F.col("constrains"), "property_shape": shaped[1]}))
-    held = cut_lineage(q.where(sh("property") & (F.col("o_kind") != "literal")).select("graph", F.col("s").alias("owner"), F.col("o").alias("node")).distinct())
+    held = stored(q.where(sh("property") & (F.col("o_kind") != "literal")).select("graph", F.col("s").alias("owner"), F.col("o").alias("node")).distinct())
     roots = node.where("root").select("graph", F.col("s").alias("owner"), "container")
     direct = held.join(roots.select("graph", "owner"), ["graph", "owner"], "left_semi").select("graph", "node", "owner", F.lit(True).alias("direct"))
     tracked = direct.unionByName(roots.where("not container").select("graph", F.col("owner").alias("node"), "owner", F.lit(False).alias("direct")))

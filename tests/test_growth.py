@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from dataward.operators import graph as G
 from dataward.operators import graph_rules as R
+from dataward.operators import requirements as REQ
 from dataward.operators.offering import validate_events
 from dataward.plans import streams
 from dataward.sources.feeds import EVENT_SCHEMA
@@ -59,3 +60,12 @@ def test_event_validation_shuffles_no_record(spark, folder):
 def test_large_batches_of_a_feed_have_many_files(spark):
     folder = streams._feed(spark.range(2 * streams._LINES + 1).coalesce(1).select("id", F.lit(0).alias("b")), "b")
     assert spark.read.text(f"{folder}/feed").select(F.input_file_name()).distinct().count() == 3
+
+
+def test_shape_statements_are_stored_before_they_are_joined(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(REQ, "stored", lambda df, f=REQ.stored: kept.append(df.columns) or f(df))
+    cells = ["graph", "s", "s_kind", "p", "o", "o_kind"]
+    rows = [("urn:n", "iri", G.RDF_TYPE, REQ.SH + "NodeShape", "iri"), ("urn:n", "iri", REQ.SH + "property", "x", "bnode"), ("x", "bnode", REQ.SH + "path", "urn:p", "iri"), ("x", "bnode", REQ.SH + "minCount", "1", "literal")]
+    q = spark.createDataFrame([("g", *r) for r in rows], ", ".join(f"{c} string" for c in cells))
+    assert [(r["node"], r["path"], r["minimum"]) for r in REQ.shape_requirements(q, "urn:", "urn:id").collect()] == [("x", "urn:p", 1)] and kept[0] == cells
