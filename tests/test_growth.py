@@ -1,5 +1,6 @@
 """Steps that must not grow faster than their input: joins that no estimate turns into a broadcast, rounds, plans."""
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from dataward.operators import graph as G
@@ -8,6 +9,7 @@ from dataward.operators import requirements as REQ
 from dataward.operators.offering import validate_events
 from dataward.plans import streams
 from dataward.sources.feeds import EVENT_SCHEMA
+from dataward.streaming.lifecycle import PhaseMachine
 
 POLICY = {"hosts": ["data.example.org"], "stable_hosts": ["data.example.org"], "max_values": 2, "max_literal_length": 40, "profile_iri": "https://data.example.org/profile/main"}
 
@@ -69,3 +71,8 @@ def test_shape_statements_are_stored_before_they_are_joined(spark, monkeypatch):
     rows = [("urn:n", "iri", G.RDF_TYPE, REQ.SH + "NodeShape", "iri"), ("urn:n", "iri", REQ.SH + "property", "x", "bnode"), ("x", "bnode", REQ.SH + "path", "urn:p", "iri"), ("x", "bnode", REQ.SH + "minCount", "1", "literal")]
     q = spark.createDataFrame([("g", *r) for r in rows], ", ".join(f"{c} string" for c in cells))
     assert [(r["node"], r["path"], r["minimum"]) for r in REQ.shape_requirements(q, "urn:", "urn:id").collect()] == [("x", "urn:p", 1)] and kept[0] == cells
+
+
+def test_steps_of_transfers_are_rows(spark):
+    machine = PhaseMachine(1, 1, False)
+    assert list(machine._rows(("t",), [(1, "active", "rejected")])) == [Row(transfer_id="t", step_no=1, phase="active", verdict="rejected")]
