@@ -92,52 +92,45 @@ def line_types(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     rows = whole.select(key, "_spans", F.posexplode("_lines").alias("_i", "raw"))
     inside = F.get(F.filter("_spans", lambda s: F.col("_i").between(s["a"], s["b"])), F.lit(0))
     rows = once(rows, {"_span": inside}).drop("_spans")
-    raw = F.col("raw")
-    w = Window.partitionBy(key).orderBy("_i")
-    trimmed = F.trim(raw)
+    raw, trimmed = F.col("raw"), F.trim("raw")
     span_type = (F.when(F.col("_span.kind") == "fence", F.when((F.col("_i") == F.col("_span.a")) | (F.col("_i") == F.col("_span.b")), "fence").otherwise("code"))
                  .otherwise(F.col("_span.kind")))
-    rows = rows.withColumns({"_next": F.lead("raw").over(w), "_prev": F.lag("raw").over(w), "_free": F.col("_span").isNull(), "_st": span_type})
-    piped = F.contains(raw, F.lit("|"))
-    delimiter = raw.rlike(TABLE_DELIMITER) & F.contains(F.coalesce("_prev", F.lit("")), F.lit("|"))
-    heads = F.coalesce(F.col("_next").rlike(TABLE_DELIMITER), F.lit(False)) & piped
-    # A table body runs from its delimiter over the following lines that hold a pipe.
-    rows = rows.withColumns({"_starts": delimiter | heads, "_breaks": ~piped | (trimmed == "")})
-    runs = rows.withColumn("_run", F.sum(F.when(F.col("_breaks") & ~F.col("_starts"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    block = Window.partitionBy(key, "_run").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    runs = runs.withColumn("_tabled", (F.max(F.when(F.col("_starts"), 1).otherwise(0)).over(block) == 1) & ~(F.col("_breaks") & ~F.col("_starts")))
     is_list = raw.rlike(LIST)
-    is_marker = raw.rlike(REPORT_MARKER)
-    is_table = F.col("_tabled") | raw.rlike(r"^\s*\|.*\|\s*$")
-    indented = ~is_list & raw.rlike(r"^(?: {4}|\t)")
-    quote, comment = raw.rlike(r"^\s*>"), trimmed.rlike(r"^<!--[\s\S]*-->$")
-    meta, link = (F.col("_i") < 15) & trimmed.rlike(METADATA), raw.rlike(LINK_DEFINITION)
     atx = raw.rlike(HEADING)
-    underline = F.coalesce(F.col("_next").rlike(r"^ {0,3}(=+|-+)\s*$"), F.lit(False))
-    setext = (~atx & underline & ~is_list & ~is_marker & ~is_table & ~quote & ~indented & ~comment & ~meta & ~link & raw.rlike(r"^ {0,3}\S") & F.col("_free"))
-    rows = once(runs, {"_atx": atx & F.col("_free"), "_setext": setext, "_blank": trimmed == "", "_kind": F.when(indented, "code").when(is_table, "table").when(quote, "blockquote")
-                       .when(comment, "comment").when(link, "link-definition").when(meta, "metadata").when(is_list | is_marker, "list").otherwise("prose")})
-    under = F.coalesce(F.lag("_setext").over(w), F.lit(False))
-    rows = rows.withColumn("_under", under)
-    kind = (F.when(~F.col("_free"), F.col("_st")).when(F.col("_under"), "heading-underline").when(F.col("_blank"), "blank")
-            .when(F.col("_atx") | F.col("_setext"), "heading").otherwise(F.col("_kind")))
-    level = F.when(F.col("_atx"), F.length(F.regexp_extract("raw", HEADING, 1))).otherwise(F.when(F.regexp_extract("_next", r"^ {0,3}(=|-)", 1) == "=", 1).otherwise(2))
+    indented = ~is_list & raw.rlike(r"^(?: {4}|\t)")
+    meta = (F.col("_i") < 15) & trimmed.rlike(METADATA)
+    own = (F.when(indented, "code").when(raw.rlike(r"^\s*\|.*\|\s*$"), "table").when(raw.rlike(r"^\s*>"), "blockquote").when(trimmed.rlike(r"^<!--[\s\S]*-->$"), "comment")
+           .when(raw.rlike(LINK_DEFINITION), "link-definition").when(meta, "metadata").when(is_list | raw.rlike(REPORT_MARKER), "list").otherwise("prose"))
+    rows = once(rows.select(key, (F.col("_i") + 1).alias("line_no"), "_i", "raw", "_span"), {
+        "_st": span_type, "_own": own, "_atx": atx & F.col("_span").isNull(), "_delimits": raw.rlike(TABLE_DELIMITER), "_piped": F.contains(raw, F.lit("|")), "_blank": trimmed == "",
+        "_rule": F.substring(F.regexp_extract("raw", r"^ {0,3}(=+|-+)\s*$", 1), 1, 1),
+        "_may": ~atx & F.col("_span").isNull() & raw.rlike(r"^ {0,3}\S")}).drop("_i", "_span")
+    # All windows below have one order, and nothing between them disturbs it: the lines are sorted once, and with them only the text itself.
+    w = Window.partitionBy(key).orderBy("line_no")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda value: F.last(value, ignorenulls=True).over(upto)
+    rows = rows.withColumns({"_below": F.coalesce(F.lead("_rule").over(w), F.lit("")), "_heads": F.coalesce(F.lead("_delimits").over(w), F.lit(False)), "_after": F.coalesce(F.lag("_piped").over(w), F.lit(False))})
+    # A table body runs from its delimiter over the following lines that hold a pipe.
+    starts = (F.col("_delimits") & F.col("_after")) | (F.col("_heads") & F.col("_piped"))
+    rows = rows.withColumn("_tabled", F.coalesce(last(F.when(starts, True).when(~F.col("_piped") | F.col("_blank"), False)), F.lit(False)))
+    rows = rows.withColumn("_setext", F.col("_may") & (F.col("_own") == "prose") & ~F.col("_tabled") & (F.col("_below") != ""))
+    rows = rows.withColumn("_under", F.coalesce(F.lag("_setext").over(w), F.lit(False)))
+    kind = (F.when(F.col("_st").isNotNull(), F.col("_st")).when(F.col("_under"), "heading-underline").when(F.col("_blank"), "blank")
+            .when(F.col("_atx") | F.col("_setext"), "heading").when(F.col("_tabled") & (F.col("_own") != "code"), "table").otherwise(F.col("_own")))
+    level = F.when(F.col("_atx"), F.length(F.regexp_extract("raw", HEADING, 1))).otherwise(F.when(F.col("_below") == "=", 1).otherwise(2))
     heading = F.trim(mask_inline(F.when(F.col("_atx"), F.regexp_replace(F.regexp_extract("raw", HEADING, 2), r"[ \t]+#+[ \t]*$", "")).otherwise(trimmed)))
-    out = once(rows, {"type": kind})
+    out = rows.withColumn("type", kind)
     is_head, listed = F.col("type") == "heading", F.col("type") == "list"
-    out = out.withColumns({"_level": F.when(is_head, level), "_head": F.when(is_head, heading), "masked": F.trim(mask_inline(raw))})
-    out = out.withColumn("_quotes", F.col("_head").rlike(QUOTED_SECTION))
-    mark = F.last(F.when(F.col("_quotes"), F.struct(F.col("_i").alias("at"), F.col("_level").alias("level"))), ignorenulls=True)
-    out = out.withColumn("_section", mark.over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumns({"_at": F.col("_section.at"), "_top": F.col("_section.level")})
-    since = Window.partitionBy(key, "_at").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("_least", F.min(F.when(~F.col("_quotes"), F.col("_level"))).over(since))
-    quoted = F.coalesce((F.coalesce("_least", F.lit(7)) > F.col("_top")) & ~is_head, F.lit(False))
+    out = out.withColumn("_level", F.when(is_head, level)).withColumn("_quotes", F.coalesce(F.when(is_head, heading.rlike(QUOTED_SECTION)), F.lit(False)))
+    out = out.withColumn("_top", last(F.when(F.col("_quotes"), F.col("_level"))))
+    quoted = F.coalesce(last(F.when(F.col("_quotes"), True).when(F.col("_level") <= F.col("_top"), False)), F.lit(False))
+    out = out.withColumn("_quoted", quoted & ~is_head).withColumn("masked", F.trim(mask_inline(raw)))
     return out.select(
-        key, (F.col("_i") + 1).alias("line_no"), "raw", "type", F.col("_level").alias("heading_level"), F.col("_head").alias("heading_text"),
+        key, "line_no", "raw", "type", F.col("_level").alias("heading_level"), F.when(is_head, heading).alias("heading_text"),
         F.when(listed, F.when(is_list, F.regexp_extract("raw", LIST, 2)).otherwise(F.regexp_extract("raw", REPORT_MARKER, 1))).alias("list_marker"),
         F.when(listed, F.when(is_list, F.length(F.regexp_extract("raw", LIST, 1))).otherwise(0)).alias("list_indent"),
         F.when(listed, F.trim(mask_inline(F.when(is_list, F.regexp_extract("raw", LIST, 3)).otherwise(F.regexp_extract("raw", REPORT_MARKER, 2))))).alias("list_content"),
-        "masked", (F.col("type").isin(*SKIPPED) | quoted | F.col("masked").rlike(QUOTED_LINE)).alias("skip"))
+        "masked", (F.col("type").isin(*SKIPPED) | F.col("_quoted") | F.col("masked").rlike(QUOTED_LINE)).alias("skip"))
 
 
 def visible_text(lines: DataFrame) -> Column:

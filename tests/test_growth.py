@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from dataward.operators import graph as G
 from dataward.operators import graph_rules as R
 from dataward.operators import requirements as REQ
+from dataward.operators import text as T
 from dataward.operators.offering import validate_events
 from dataward.plans import streams
 from dataward.sources.feeds import EVENT_SCHEMA
@@ -76,3 +77,14 @@ def test_shape_statements_are_stored_before_they_are_joined(spark, monkeypatch):
 def test_steps_of_transfers_are_rows(spark):
     machine = PhaseMachine(1, 1, False)
     assert list(machine._rows(("t",), [(1, "active", "rejected")])) == [Row(transfer_id="t", step_no=1, phase="active", verdict="rejected")]
+
+
+def text_lines(spark):
+    docs = spark.createDataFrame([(1, "# A\n\n## 1. b\n- 30 % of it\nSRC-1\n| x |\n"), (2, "plain")], "doc_id long, text string")
+    return T.line_types(docs.repartition(2))
+
+
+def test_lines_of_documents_are_sorted_once(spark):
+    near = T.near_marker(text_lines(spark), r"\d+\s*%", r"SRC-\d+", "^source:", 3)
+    assert plan(near).count("Sort [") == 1
+    assert [tuple(r) for r in near.collect()] == [(1, 4, False)]
