@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from dataward.operators import graph as G
 from dataward.operators import graph_rules as R
+from dataward.operators import report_rules as RR
 from dataward.operators import requirements as REQ
 from dataward.operators import text as T
 from dataward.operators.offering import validate_events
@@ -88,3 +89,5 @@ def test_lines_of_documents_are_sorted_once(spark):
     near = T.near_marker(text_lines(spark), r"\d+\s*%", r"SRC-\d+", "^source:", 3)
     assert plan(near).count("Sort [") == 1
     assert [tuple(r) for r in near.collect()] == [(1, 4, False)]
+    # One more sort finds repeats, over shown lines without their windows.
+    assert plan(RR.report_findings(text_lines(spark))).count("Sort [") == 2
