@@ -7,11 +7,12 @@ windows with the same partitioning, so a document's lines are shuffled once what
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dataward.operators.text import SUPPRESSION, normalize_sentence, visible_text
+from dataward.operators.text import SUPPRESSION, normalize_sentence, outline, visible_text
 
 # Words and forms that the rules look for.
 CONVERSATIONAL = ("오늘은", "이번 글에서는", "살펴보자", "알아보자", "해보겠습니다", "여정을 시작")
@@ -149,14 +150,10 @@ def section_findings(lines: DataFrame, schemes: tuple[str, ...] = tuple(SCHEMES)
     """(key, line_no, rule): lower headings outside the allowed numbering (STR003); documents whose headings in the first
     lines name no purpose or scope (STR004, at the first heading of level 2 or else the first line that is not blank).
     """
-    heads = lines.where(F.col("type") == "heading")
-    odd = heads.where(F.col("heading_level") >= 3)
-    for s in schemes:
-        odd = odd.where(~F.col("heading_text").rlike(SCHEMES[s]))
-    head = F.col("type") == "heading"
-    named = F.coalesce(head & (F.col("line_no") <= first_lines) & F.col("heading_text").rlike(PURPOSE), F.lit(False))
-    docs = lines.groupBy(key).agg(
-        F.bool_or(named).alias("_named"), F.min(F.when(head & (F.col("heading_level") == 2), F.col("line_no"))).alias("_second"),
-        F.min(F.when(F.col("type") != "blank", F.col("line_no"))).alias("_start"))
-    vague = docs.where(~F.col("_named")).select(key, F.coalesce("_second", "_start", F.lit(1)).alias("line_no"), F.lit("STR004").alias("rule"))
-    return odd.select(key, "line_no", F.lit("STR003").alias("rule")).unionByName(vague)
+    docs = lines if "headings" in lines.columns else outline(lines, key)
+    odd = F.transform(F.filter("headings", lambda h: reduce(lambda x, y: x & y, [(h["level"] >= 3), *[~h["text"].rlike(SCHEMES[s]) for s in schemes]])), lambda h: F.struct(
+        h["line_no"].alias("line_no"), F.lit("STR003").alias("rule")))
+    named = F.exists("headings", lambda h: (h["line_no"] <= first_lines) & h["text"].rlike(PURPOSE))
+    second = F.get(F.filter("headings", lambda h: h["level"] == 2), F.lit(0))["line_no"]
+    vague = F.when(~named, F.struct(F.coalesce(second, F.col("first_line"), F.lit(1)).alias("line_no"), F.lit("STR004").alias("rule")))
+    return docs.select(key, F.inline(F.array_compact(F.concat(odd, F.array(vague)))))

@@ -137,22 +137,30 @@ def visible_text(lines: DataFrame) -> Column:
     return F.coalesce(F.col("heading_text"), F.col("list_content"), F.col("masked"))
 
 
+def outline(lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, first_line, headings): per document its first line that is not blank and its headings in order, as
+    (line_no, level, text). What rules on structure need, from one pass over the lines."""
+    head = F.when(F.col("type") == "heading", F.struct("line_no", F.col("heading_level").alias("level"), F.col("heading_text").alias("text")))
+    return lines.groupBy(key).agg(F.min(F.when(F.col("type") != "blank", F.col("line_no"))).alias("first_line"), F.sort_array(F.collect_list(head)).alias("headings"))
+
+
 def heading_findings(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, line_no, rule, detail): one H1 and first, no skipped level, H2 numbers in sequence."""
-    w = Window.partitionBy(key).orderBy("line_no")
-    heads = lines.where(F.col("type") == "heading").select(key, "line_no", "heading_level", "heading_text")
-    heads = heads.withColumns({"_before": F.lag("heading_level").over(w), "_order": F.row_number().over(w)})
-    ones = heads.where(F.col("heading_level") == 1).groupBy(key).agg(F.count(F.lit(1)).alias("_ones"), F.sort_array(F.collect_list("line_no")).alias("_at"))
-    docs = lines.groupBy(key).agg(F.min(F.when(F.col("type") != "blank", F.col("line_no"))).alias("_first"))
-    per_doc = docs.join(ones, key, "left").withColumn("_ones", F.coalesce("_ones", F.lit(0)))
-    count = per_doc.where(F.col("_ones") != 1).select(key, F.coalesce(F.get("_at", F.lit(1)), F.get("_at", F.lit(0)), F.col("_first"), F.lit(1)).alias("line_no"), F.lit("STR001").alias("rule"), F.lit("H1_COUNT").alias("detail"))
-    first = heads.where((F.col("_order") == 1) & (F.col("heading_level") != 1)).join(per_doc.where(F.col("_ones") == 1).select(key), key, "left_semi").select(key, "line_no", F.lit("STR001").alias("rule"), F.lit("H1_NOT_FIRST").alias("detail"))
-    skip = heads.where(F.col("heading_level") > F.col("_before") + 1).select(key, "line_no", F.lit("STR001").alias("rule"), F.lit("LEVEL_SKIPPED").alias("detail"))
-    second = heads.where(F.col("heading_level") == 2).withColumn("_no", F.regexp_extract("heading_text", r"^(\d+)\.\s", 1).try_cast("bigint"))
-    bare = second.where(F.col("_no").isNull()).select(key, "line_no", F.lit("STR002").alias("rule"), F.lit("H2_UNNUMBERED").alias("detail"))
-    numbered = second.where(F.col("_no").isNotNull()).withColumn("_expected", F.coalesce(F.lag("_no").over(w) + 1, F.lit(1)))
-    wrong = numbered.where(F.col("_no") != F.col("_expected")).select(key, "line_no", F.lit("STR002").alias("rule"), F.lit("H2_SEQUENCE").alias("detail"))
-    return count.unionByName(first).unionByName(skip).unionByName(bare).unionByName(wrong)
+    """(key, line_no, rule, detail): one H1 and first, no skipped level, H2 numbers in sequence. ``lines`` may be an ``outline``."""
+    docs = lines if "headings" in lines.columns else outline(lines, key)
+    number = lambda h: F.regexp_extract(h["text"], r"^(\d+)\.\s", 1).try_cast("bigint")
+    second = F.transform(F.filter("headings", lambda h: h["level"] == 2), lambda h: F.struct(h["line_no"].alias("line_no"), number(h).alias("no")))
+    docs = once(docs, {"_ones": F.transform(F.filter("headings", lambda h: h["level"] == 1), lambda h: h["line_no"]), "_second": second})
+    docs = once(docs, {"_numbered": F.filter("_second", lambda h: h["no"].isNotNull())})
+    cell = lambda line, rule, detail: F.struct(line.cast("int").alias("line_no"), F.lit(rule).alias("rule"), F.lit(detail).alias("detail"))
+    at = lambda i: F.get("_ones", F.lit(i))
+    count = F.when(F.size("_ones") != 1, cell(F.coalesce(at(1), at(0), F.col("first_line"), F.lit(1)), "STR001", "H1_COUNT"))
+    top = F.get("headings", F.lit(0))
+    first = F.when((F.size("_ones") == 1) & (top["level"] != 1), cell(top["line_no"], "STR001", "H1_NOT_FIRST"))
+    skip = F.transform("headings", lambda h, i: F.when((i > 0) & (h["level"] > F.get("headings", i - 1)["level"] + 1), cell(h["line_no"], "STR001", "LEVEL_SKIPPED")))
+    bare = F.transform(F.filter("_second", lambda h: h["no"].isNull()), lambda h: cell(h["line_no"], "STR002", "H2_UNNUMBERED"))
+    wrong = F.transform("_numbered", lambda h, i: F.when(h["no"] != F.coalesce(F.get("_numbered", i - 1)["no"] + 1, F.lit(1)), cell(h["line_no"], "STR002", "H2_SEQUENCE")))
+    found = F.array_compact(F.concat(F.array(count, first), skip, bare, wrong))
+    return docs.select(key, F.inline(found))
 
 
 def near_marker(lines: DataFrame, claim: str, marker: str, label: str, n: int = 3, key: str = "doc_id") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dataward.functions.lineage import stored
 from dataward.operators import report_rules as R
 from dataward.operators import text as T
 from dataward.plans.registry import query
@@ -125,8 +126,9 @@ def report_findings(spark, sf):
   union all select doc_id, line_no, 'STR003' from h where level >= 3 and not regexp_matches(txt, '^\\d+(?:\\.\\d+)+\\.?\\s|^[A-Z]{{1,8}}-\\d+[A-Z]?(?:-\\d+)?\\.\\s|^[가-힣]\\.\\s|^\\(\\d+\\)\\s')
   union all select doc_id, coalesce(h2, f, 1), 'STR004' from d where not named""")
 def report_sections(spark, sf):
-    lines = typed(spark, sf)
-    return T.heading_findings(lines).select("doc_id", "line_no", "rule").unionByName(R.section_findings(lines))
+    # Lines are typed once; both sets of rules read the stored headings.
+    heads = stored(T.outline(typed(spark, sf)))
+    return T.heading_findings(heads).select("doc_id", "line_no", "rule").unionByName(R.section_findings(heads))
 
 
 @query("report_acronyms", f"""with {_LINES}, v as (select doc_id, line_no, txt from t where not skip),

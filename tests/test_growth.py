@@ -91,3 +91,9 @@ def test_lines_of_documents_are_sorted_once(spark):
     assert [tuple(r) for r in near.collect()] == [(1, 4, False)]
     # One more sort finds repeats, over shown lines without their windows.
     assert plan(RR.report_findings(text_lines(spark))).count("Sort [") == 2
+
+
+def test_structure_rules_pass_over_lines_once(spark):
+    lines = text_lines(spark)
+    assert plan(T.heading_findings(lines)).count("Sort [") == plan(RR.section_findings(lines)).count("Sort [") == 1
+    assert sorted(tuple(r) for r in T.heading_findings(lines).collect()) == [(2, 1, "STR001", "H1_COUNT")]
