@@ -197,9 +197,10 @@ _TERM = ["graph", "node", "v", "v_kind", "_term"]
 
 def equals(q, focus, vals, predicate, ctx):
     one, two = _whole(vals), _whole(values_of(q, focus, predicate))
-    missing = one.join(two.select(*_TERM), _TERM, "left_anti").select(*_TERM)
-    extra = two.join(one.select(*_TERM), _TERM, "left_anti").select(*_TERM)
-    return missing.unionByName(extra).distinct().select("graph", "node", F.col("v").alias("value"))
+    # One grouping tells which side a term is on; a term with a null part equals none.
+    sides = one.select(*_TERM, F.lit(1).alias("_side")).unionByName(two.select(*_TERM, F.lit(2).alias("_side"))).groupBy(*_TERM).agg(F.min("_side").alias("_a"), F.max("_side").alias("_b"))
+    unlike = (F.col("_a") == F.col("_b")) | reduce(lambda x, y: x | y, [F.col(c).isNull() for c in _TERM])
+    return sides.where(unlike).select("graph", "node", F.col("v").alias("value"))
 
 
 def disjoint(q, focus, vals, predicate, ctx):

@@ -3,6 +3,7 @@
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from dataward.operators import constraints as C
 from dataward.operators import graph as G
 from dataward.operators import graph_rules as R
 from dataward.operators import report_rules as RR
@@ -97,3 +98,12 @@ def test_structure_rules_pass_over_lines_once(spark):
     lines = text_lines(spark)
     assert plan(T.heading_findings(lines)).count("Sort [") == plan(RR.section_findings(lines)).count("Sort [") == 1
     assert sorted(tuple(r) for r in T.heading_findings(lines).collect()) == [(2, 1, "STR001", "H1_COUNT")]
+
+
+def test_equal_terms_are_grouped_once(spark):
+    q = spark.createDataFrame([("n", "p", "1"), ("n", "p", "2"), ("n", "r", "2"), ("n", "r", "3")], "s string, p string, o string").select(
+        F.lit("g").alias("graph"), "s", F.lit("iri").alias("s_kind"), "p", "o", F.lit("literal").alias("o_kind"), F.lit(None).cast("string").alias("datatype"), F.lit(None).cast("string").alias("lang"))
+    focus = q.select("graph", F.col("s").alias("node"), F.col("s_kind").alias("node_kind")).distinct()
+    got = C.equals(q, focus, C.values_of(q, focus, "p"), "r", {})
+    assert "LeftAnti" not in plan(got)
+    assert sorted(r["value"] for r in got.collect()) == ["1", "3"]
