@@ -3,6 +3,7 @@
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from dataward.operators import chain as CH
 from dataward.operators import constraints as C
 from dataward.operators import graph as G
 from dataward.operators import graph_rules as R
@@ -107,3 +108,14 @@ def test_equal_terms_are_grouped_once(spark):
     got = C.equals(q, focus, C.values_of(q, focus, "p"), "r", {})
     assert "LeftAnti" not in plan(got)
     assert sorted(r["value"] for r in got.collect()) == ["1", "3"]
+
+
+def test_receipts_leave_their_chain_digests_behind(spark):
+    records = spark.createDataFrame([(str(i), f"c{i}") for i in range(4)], "event_id string, content_digest string").withColumns(
+        {"committed_at": F.lit("2024-01-01").cast("timestamp_ntz"), "retention_until": F.lit("2024-01-31").cast("timestamp_ntz")})
+    rows = [("0", 1, None, "r1"), ("1", 2, "r1", "r2"), ("2", 3, "other", "r3"), ("3", 4, None, "r4")]
+    receipts = spark.createDataFrame(rows, "event_id string, sequence long, previous_receipt_digest string, receipt_digest string").withColumns(
+        {"backend_id": F.lit("b"), "content_digest": F.concat(F.lit("c"), "event_id"), "retention_until": F.lit("2024-01-31").cast("timestamp_ntz")})
+    found = CH.verify_receipts(records, receipts, 30, "b", F.col("receipt_digest"))
+    assert sorted(tuple(r) for r in found.collect()) == [("2", "CHAIN_BROKEN"), ("3", "CHAIN_BROKEN")]
+    assert "count(distinct" not in found._jdf.queryExecution().optimizedPlan().toString().lower() and "_own" not in plan(found)
