@@ -11,6 +11,7 @@ from dataward.operators import report_rules as RR
 from dataward.operators import requirements as REQ
 from dataward.operators import text as T
 from dataward.operators.offering import validate_events
+from dataward.operators.sync import classify_events
 from dataward.plans import streams
 from dataward.sources.feeds import EVENT_SCHEMA
 from dataward.streaming.lifecycle import PhaseMachine
@@ -119,3 +120,16 @@ def test_receipts_leave_their_chain_digests_behind(spark):
     found = CH.verify_receipts(records, receipts, 30, "b", F.col("receipt_digest"))
     assert sorted(tuple(r) for r in found.collect()) == [("2", "CHAIN_BROKEN"), ("3", "CHAIN_BROKEN")]
     assert "count(distinct" not in found._jdf.queryExecution().optimizedPlan().toString().lower() and "_own" not in plan(found)
+
+
+def test_stored_state_moves_no_event(spark):
+    ev = spark.createDataFrame([("s", "k", "1", "e1", 1, "record.upsert", "d"), ("s", "k", "3", "e2", None, "record.upsert", "d")],
+                               "source_system_id string, record_id string, resource_version string, event_id string, pos long, event_type string, event_digest string")
+    state = spark.createDataFrame([("s", "k", "2", "d", False)], "source_system_id string, record_id string, resource_version string, event_digest string, withdrawn boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = classify_events(ev, state, None)
+        assert plan(got).count("Exchange hashpartitioning") == 5  # summaries, their keys, the state, and both sides of the way back
+        assert {r["event_id"]: r["result"] for r in got.collect()} == {"e1": "stale", "e2": "applied"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
