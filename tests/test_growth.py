@@ -133,3 +133,23 @@ def test_stored_state_moves_no_event(spark):
         assert {r["event_id"]: r["result"] for r in got.collect()} == {"e1": "stale", "e2": "applied"}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_closures_of_paths_are_made_of_numbers(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(G, "closure", lambda edges, f=G.closure: seen.append(dict(edges.dtypes)) or f(edges))
+    none = F.lit(None).cast("string")
+    q = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b")], "s string, o string").select(
+        F.lit("g").alias("graph"), "s", F.lit("iri").alias("s_kind"), F.lit("p").alias("p"), "o", F.lit("iri").alias("o_kind"), none.alias("datatype"), none.alias("lang"))
+    plus, star = ([(r["s"], r["o"]) for r in G.path(q, (form, "p")).collect()] for form in ("plus", "star"))
+    assert sorted(plus) == [("a", "b"), ("a", "c"), ("b", "b"), ("b", "c"), ("c", "b"), ("c", "c")]
+    assert sorted(star) == [("a", "a"), *sorted(plus)]
+    assert seen == [{"a": "bigint", "b": "bigint"}] * 2
+
+
+def test_signature_rounds_read_stored_links(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(G, "stored", lambda df, f=G.stored: kept.append(df.columns) or f(df))
+    q = spark.createDataFrame([("a", "x", "bnode"), ("x", "1", "literal")], "s string, o string, o_kind string").select(
+        F.lit("g").alias("graph"), "s", F.lit("p").alias("p"), "o", "o_kind", F.lit(None).cast("string").alias("datatype"), F.lit(None).cast("string").alias("lang"))
+    assert {r["s"] for r in G.node_signature(q).collect()} == {"a", "x"} and ["graph", "s", "p", "_child"] in kept
