@@ -50,11 +50,11 @@ def running(df: DataFrame, keys: list[str], order: list[Column], chunk: Column,
         first = before.select(*keys, *[F.col(n).alias(f"_first_{n}") for n in aggs])
         carried = carried.join(first, keys, "left").withColumns({f"_carry_{n}": _combine(k, F.col(f"_carry_{n}"), F.col(f"_first_{n}")) for n, (k, _) in aggs.items()}).drop(
             *[f"_first_{n}" for n in aggs])
-    joined = rows.join(carried, [*keys, "_chunk"], "left")
-    out = joined.withColumns({
-        n: _combine(k, F.col(f"_carry_{n}"), _AGGREGATES[k](f"_in_{n}").over(earlier_rows))
-        for n, (k, _) in aggs.items()})
-    return out.drop("_chunk", *inputs, *[f"_carry_{n}" for n in aggs])
+    # Windows come ahead of the join: a key that repeats in ``before`` repeats rows, and no row may meet its own copies.
+    inside = rows.withColumns({f"_here_{n}": _AGGREGATES[k](f"_in_{n}").over(earlier_rows) for n, (k, _) in aggs.items()}).drop(*inputs)
+    out = inside.join(carried, [*keys, "_chunk"], "left").withColumns({
+        n: _combine(k, F.col(f"_carry_{n}"), F.col(f"_here_{n}")) for n, (k, _) in aggs.items()})
+    return out.drop("_chunk", *[f"_{c}_{n}" for n in aggs for c in ("carry", "here")])
 
 
 def neighbour(df: DataFrame, keys: list[str], order: list[str], chunk: Column,

@@ -131,6 +131,9 @@ def test_stored_state_moves_no_event(spark):
         got = classify_events(ev, state, None)
         assert plan(got).count("Exchange hashpartitioning") == 5  # summaries, their keys, the state, and both sides of the way back
         assert {r["event_id"]: r["result"] for r in got.collect()} == {"e1": "stale", "e2": "applied"}
+        # A key that repeats in the state repeats events; none of them competes with its own copy.
+        twice = classify_events(ev, state.union(state), None).collect()
+        assert sorted((r["event_id"], r["result"]) for r in twice) == [("e1", "stale")] * 2 + [("e2", "applied")] * 2
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
