@@ -1,5 +1,6 @@
 """Readers and writers, metering streams, service levels, chains, text."""
 
+import hashlib
 import os
 
 import pytest
@@ -42,6 +43,47 @@ def test_register_csv(spark, folder):
     assert spark.read.option("header", True).option("escape", '"').csv(folder + "/out").first()["tags"] == '["a","b"]'
 
 
+def test_file_digests_read_long_files_in_ranges(spark, folder, monkeypatch):
+    os.makedirs(folder + "/in/a b%20#é")
+    sizes = {"one": 1, "block": 64, "span": 1000, "over": 1001, "twice": 2000, "a b%20#é/long": 3003, "x.gz": 3000}
+    want = set()
+    for name, n in sizes.items():
+        data = bytes(i * i % 251 for i in range(n))
+        with open(f"{folder}/in/{name}", "wb") as f:
+            f.write(data)
+        want.add((f"file:{folder}/in/{name}", n, hashlib.sha256(data).hexdigest()))
+    kept = []
+    monkeypatch.setattr(feeds, "fresh_folder", lambda s, kind: kept.append(f"{folder}/{kind}") or kept[-1])
+    found = feeds.file_digests(spark, folder + "/in", span=1000)
+    rows = list(map(tuple, found.collect()))
+    assert set(rows) == want and len(rows) == len(want) and found.schema.simpleString() == "struct<path:string,bytes:bigint,sha256:string>"
+    # A task took one range of one file: each round stores as many files as there are rows, and goes 1,000 bytes further.
+    long = sorted(n for n in sizes.values() if n > 1000)
+    for k in range(1, 5):
+        states = spark.read.parquet(f"{kept[0]}/{k}").select("bytes", "at", F.input_file_name()).collect()
+        assert sorted((r["bytes"], r["at"]) for r in states) == [(n, min(n, 1000 * k)) for n in long if n > 1000 * (k - 1)] and len({r[2] for r in states}) == len(states)
+    assert len(os.listdir(kept[0])) == 5
+    assert set(map(tuple, feeds.file_digests(spark, folder + "/in", "o*").collect())) == {r for r in want if r[0].rsplit("/", 1)[1][0] == "o"}
+
+
+def test_file_digests_above_one_binary_value(spark, folder):
+    n = 2**31 + 5
+    os.makedirs(folder + "/in")
+    with open(folder + "/in/sparse", "wb") as f:
+        f.truncate(n)
+    with open(folder + "/in/sparse", "rb") as f:
+        want = hashlib.file_digest(f, "sha256").hexdigest()
+    assert list(map(tuple, feeds.file_digests(spark, folder + "/in").select("bytes", "sha256").collect())) == [(n, want)]
+
+
+def test_file_digests_in_a_store_that_only_spark_reads(spark, folder):
+    with open(folder + "/a", "wb") as f:
+        f.write(b"x" * 3000)
+    spark.conf.set("fs.viewfs.mounttable.digests.link./in", f"file://{folder}")
+    row = feeds.file_digests(spark, "viewfs://digests/in", span=1000).first()
+    assert (row["bytes"], row["sha256"]) == (3000, hashlib.sha256(b"x" * 3000).hexdigest())
+
+
 def test_snapshots_and_ranges(spark, folder):
     sinks.write_snapshot(spark.range(3), folder + "/s", 1)
     with pytest.raises(Exception):
