@@ -56,6 +56,17 @@ def test_reach_pairs_rounds_do_not_grow_with_the_number_of_branchings(spark, mon
     assert set(rows) == want and len(rows) == len(want)
 
 
+def test_estimates_of_reach_pairs_do_not_grow_with_rounds(spark, monkeypatch):
+    # Ways of 64 nodes with a dead end beside each, and one of 64 without: both are followed by doubling.
+    edges = [(i, i + 1) for i in range(64)] + [(i, 1000 + i) for i in range(64)] + [(2000 + i, 2001 + i) for i in range(64)]
+    calls = []
+    monkeypatch.setattr(G, "stored", lambda df, f=G.stored: calls.append(1) or f(df))
+    got = G.reach_pairs(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(0,), (2000,)], "node long"))
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 128  # two million bits where rounds multiply it
+    assert len(calls) < 40
+    assert sorted(r["node"] for r in got.collect()) == [*range(65), *range(1000, 1064), *range(2000, 2065)]
+
+
 def test_event_validation_shuffles_no_record(spark, folder):
     line = F.concat(F.lit('{"batch_id": "b", "event_id": "e'), F.greatest(F.col("id"), F.lit(1)).cast("string"), F.lit('"}'))
     spark.range(3).select(F.from_json(line, EVENT_SCHEMA).alias("e")).select("e.*").write.parquet(f"{folder}/events")
