@@ -67,6 +67,28 @@ def test_estimates_of_reach_pairs_do_not_grow_with_rounds(spark, monkeypatch):
     assert sorted(r["node"] for r in got.collect()) == [*range(65), *range(1000, 1064), *range(2000, 2065)]
 
 
+def test_domain_range_reads_statements_twice(spark, folder):
+    ns = "urn:d#"
+    typed = lambda p, kind: (p, G.RDF_TYPE, R.OWL + kind, "iri", None)
+    terms = [typed(ns + "obj", "ObjectProperty"), (ns + "obj", R.RDFS + "domain", "A", "iri", None), (ns + "obj", R.RDFS + "domain", "B", "iri", None), (ns + "obj", R.RDFS + "range", R.RDFS + "Resource", "iri", None),
+             typed(ns + "dat", "DatatypeProperty"), (ns + "dat", R.RDFS + "domain", R.RDFS + "Resource", "iri", None), (ns + "dat", R.RDFS + "range", R.XSD + "integer", "iri", None),
+             typed(ns + "both", "ObjectProperty"), typed(ns + "both", "DatatypeProperty"), typed(ns + "note", "AnnotationProperty"), typed(ns + "far", "ObjectProperty"), (ns + "far", R.RDFS + "range", "A", "iri", None),
+             (ns + "odd", R.RDFS + "domain", "A", "iri", None), ("B2", R.RDFS + "subClassOf", "B", "iri", None), ("B", R.RDFS + "subClassOf", "A", "iri", None)]
+    rows = [("x", G.RDF_TYPE, "B2", "iri", None), ("y", G.RDF_TYPE, "A", "iri", None), ("x", ns + "obj", "z", "iri", None), ("y", ns + "obj", "z", "iri", None), ("y", ns + "obj", "1", "literal", None),
+            ("x", ns + "dat", "1", "literal", R.XSD + "integer"), ("x", ns + "dat", "one", "literal", R.XSD + "integer"), ("x", ns + "dat", "1", "literal", None), ("x", ns + "dat", "y", "iri", None),
+            ("x", ns + "both", "1", "literal", None), ("x", ns + "note", "1", "literal", None), ("x", ns + "odd", "1", "literal", None), ("x", "urn:other", "1", "literal", None), ("y", ns + "far", "x", "iri", None), ("y", ns + "far", "z", "iri", None)]
+    for name, some in (("o", terms), ("d", rows)):
+        spark.createDataFrame(some, "s string, p string, o string, o_kind string, datatype string").select(
+            F.lit("g").alias("graph"), "s", F.lit("iri").alias("s_kind"), "p", "o", "o_kind", "datatype", F.lit(None).cast("string").alias("lang")).write.parquet(f"{folder}/{name}")
+    found = R.domain_range(spark.read.parquet(f"{folder}/o"), spark.read.parquet(f"{folder}/d"), ns)
+    assert plan(found).count(f"{folder}/d]") == 2  # local statements, types
+    short = {"UNDECLARED_LOCAL_PROPERTY": "U", "PROPERTY_DOMAIN_MISSING": "PD", "DOMAIN_TYPE_MISMATCH": "D", "OBJECT_PROPERTY_LITERAL": "L", "DATATYPE_PROPERTY_RESOURCE": "R",
+             "PROPERTY_RANGE_MISSING": "PR", "RANGE_TYPE_MISMATCH": "T", "DATATYPE_RANGE_MISMATCH": "M"}
+    assert sorted((short[r["code"]], r["predicate"][len(ns):], r["s"], r["o"]) for r in found.collect()) == sorted([
+        ("D", "obj", "y", "z"), ("D", "obj", "y", "1"), ("L", "obj", "y", "1"), ("M", "dat", "x", "one"), ("M", "dat", "x", "1"), ("R", "dat", "x", "y"), ("PD", "both", "x", "1"), ("PR", "both", "x", "1"),
+        ("U", "odd", "x", "1"), ("PD", "far", "y", "x"), ("PD", "far", "y", "z"), ("T", "far", "y", "z")])
+
+
 def test_event_validation_shuffles_no_record(spark, folder):
     line = F.concat(F.lit('{"batch_id": "b", "event_id": "e'), F.greatest(F.col("id"), F.lit(1)).cast("string"), F.lit('"}'))
     spark.range(3).select(F.from_json(line, EVENT_SCHEMA).alias("e")).select("e.*").write.parquet(f"{folder}/events")
