@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dataward.functions.barrier import once
+
 
 def _combine(kind: str, carried: Column, local: Column) -> Column:
     if kind in ("sum", "count"):
@@ -41,7 +43,10 @@ def running(df: DataFrame, keys: list[str], order: list[Column], chunk: Column,
                     .rowsBetween(Window.unboundedPreceding, -1))
     earlier_chunks = (Window.partitionBy(*keys).orderBy("_chunk")
                       .rowsBetween(Window.unboundedPreceding, -1))
-    summary = rows.groupBy(*keys, "_chunk").agg(
+    # Constant keys part nothing. The others pass a barrier: a filter for their nulls, pushed below it from the join, would make
+    # another input of the summaries, and what the rows are made of would be shuffled twice.
+    parting = [k for k in keys if df.schema[k].nullable]
+    summary = once(rows, {k: F.col(k) for k in parting}).groupBy(*keys, "_chunk").agg(
         *[_AGGREGATES[k](f"_in_{n}").alias(f"_part_{n}") for n, (k, _) in aggs.items()])
     fold = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
     carried = summary.select(*keys, "_chunk", *[
@@ -51,7 +56,9 @@ def running(df: DataFrame, keys: list[str], order: list[Column], chunk: Column,
         carried = carried.join(first, keys, "left").withColumns({f"_carry_{n}": _combine(k, F.col(f"_carry_{n}"), F.col(f"_first_{n}")) for n, (k, _) in aggs.items()}).drop(
             *[f"_first_{n}" for n in aggs])
     # Windows come ahead of the join: a key that repeats in ``before`` repeats rows, and no row may meet its own copies.
-    inside = rows.withColumns({f"_here_{n}": _AGGREGATES[k](f"_in_{n}").over(earlier_rows) for n, (k, _) in aggs.items()}).drop(*inputs)
+    # What they read is made of a row's columns once it has moved, so that it is not shuffled beside them.
+    moved = rows.drop(*inputs).repartition(*parting, "_chunk").withColumns(inputs)
+    inside = moved.withColumns({f"_here_{n}": _AGGREGATES[k](f"_in_{n}").over(earlier_rows) for n, (k, _) in aggs.items()}).drop(*inputs)
     out = inside.join(carried, [*keys, "_chunk"], "left").withColumns({
         n: _combine(k, F.col(f"_carry_{n}"), F.col(f"_here_{n}")) for n, (k, _) in aggs.items()})
     return out.drop("_chunk", *[f"_{c}_{n}" for n in aggs for c in ("carry", "here")])

@@ -76,7 +76,8 @@ def batch_verdict(spark, sf):
   select cast(k as varchar) as record_id, cast(max(v) as varchar) as resource_version, arg_max(result, v) as result from a group by 1""")
 def latest_per_key(spark, sf):
     done = classified(spark, sf).where(F.col("result").isin("applied", "withdrawn") & F.col("conflict").isNull())
-    return S.latest_per_key(done).select("record_id", "resource_version", "result")
+    # Only these columns are asked for, so no others are shuffled, and both ways through ``running`` read the same join with the ledger.
+    return S.latest_per_key(done.select(*S.KEY, "resource_version", "result")).select("record_id", "resource_version", "result")
 
 
 @query("sync_report", f"""with {_CLASSIFY} select 'batch-1' as batch_id, count(*) filter (where result in ('applied', 'withdrawn')) as applied,
